@@ -16,7 +16,9 @@ _U = np.uint64
 #: 0.42, so all CHUNKS have with 1e-6: that is the share of such pairs outside the guarantee that is also missed.
 CHUNKS, WIDTH = 16, 7
 _N = CHUNKS * WIDTH
-FAR = 64
+#: Pairs across components are read in full if the signatures' lowest bits differ in at most FAR places (at the least
+#: similarity 11 of 112 are expected, and more than FAR come once in 5e7).
+FAR = 30
 _XOR = _random(_N, 21).astype(np.uint32)
 _MUL = _random(_N, 22).astype(np.uint32) | np.uint32(1)
 _COEF = _random(_N, 23).reshape(1, CHUNKS, WIDTH) | _U(1)
@@ -40,7 +42,8 @@ def keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig) of each row; h1 and h2 are null where the set is empty."""
+    """(doc_id, n_shingles, h1, h2, b1, b2, sig) of each row; b1 and b2 are the symbols' lowest bits; h1 and h2 are null where the
+    set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -51,11 +54,12 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 sig = np.zeros((j - i, _N), np.uint16)
                 if len(g):
                     sig[n > 0] = signatures(g, to)
+                bits = np.packbits(np.pad(sig & 1, ((0, 0), (0, 128 - _N))).astype(bool), axis=1).view(np.int64)
                 flat = pa.Array.from_buffers(pa.binary(2 * _N), j - i, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
                 h = [pa.array(signed(set_hash(g, to, s)), mask=n == 0) for s in (1, 2)]
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(n), *h, flat], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(n), *h, pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), flat], ["doc_id", "n_shingles", "h1", "h2", "b1", "b2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, b1 long, b2 long, sig binary")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -107,21 +111,6 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return few.mapInArrow(run, "id long, s array<long>")
 
 
-def within(pairs: DataFrame, sigs: DataFrame, most: int) -> DataFrame:
-    """Of pairs (a, b), those whose signatures (id, sig) differ in at most `most` symbols."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 5000):
-                part = b.slice(i, 5000)
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, _N) for c in (2, 3))
-                near = pa.array((x != y).sum(axis=1) <= most)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(near), part.column(1).filter(near)], ["a", "b"])
-
-    x, y = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those with 100 * intersection >= percent * union."""
     x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
@@ -136,27 +125,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     smallest doc_id stands for it. Candidates are the pairs that share a key of buckets(). First every class is compared with the smallest
     of each of its buckets, which settles a large group in as many links as it has members; then, in buckets where
     more than one component is left, all pairs across components are compared, so no candidate pair inside one is needed and none between
-    two is lost. Pairs whose signatures differ in more than FAR symbols (at the least similarity that happens once in 1e20) are not read in full. Null and empty texts have no shingles and stand alone. Rows that repeat a doc_id count as one node: their
+    two is lost. Null and empty texts have no shingles and stand alone. Rows that repeat a doc_id count as one node: their
     links are united. Empty tables give empty results."""
     docs = docs.select("doc_id", "text")
     sk = written(sketch(docs, shingle), "sketch")
-    classes = sk.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"))
+    classes = sk.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in ("n_shingles", "b1", "b2", "sig")))
     classes = written(classes, "classes")
     cand = written(buckets(classes.where("id is not null")), "buckets")
     pairs = written(cand.where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    sigs = written(classes.select("id", "sig").join(cand.select("id").distinct(), "id", "left_semi"), "sigs")
-    near = within(pairs, sigs, FAR)
-    sets = written(full_sets(docs, sigs.select("id"), shingle), "sets")
-    links = written(confirmed(near, sets, percent), "confirmed")
+    ids = cand.select("id").distinct()
+    sets = written(full_sets(docs, ids, shingle), "sets")
+    links = written(confirmed(pairs, sets, percent), "confirmed")
     comp = written(components(links, "a", "b"), "components")
-    member = cand.select("key", "id").join(comp, cand.id == comp.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    member = written(member, "members")
+    told = ids.join(comp, ids.id == comp.node, "left").select("id", F.coalesce("component", "id").alias("c"))
+    member = written(cand.select("key", "id").join(told, "id"), "members")
     mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = member.join(mixed, "key", "left_semi")
-    x, y = left.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), left.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    across = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = member.join(mixed, "key", "left_semi").join(classes.select("id", F.col("n_shingles").alias("n"), "b1", "b2"), "id")
+    x, y = (left.select("key", *(F.col(c).alias(c + s) for c in ("id", "c", "n", "b1", "b2"))) for s in ("x", "y"))
+    far = F.bit_count(F.col("b1x").bitwiseXOR(F.col("b1y"))) + F.bit_count(F.col("b2x").bitwiseXOR(F.col("b2y")))
+    alike = (F.col("cx") < F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (far <= FAR)
+    across = x.join(y, (x.key == y.key) & alike).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
     across = across.join(pairs, ["a", "b"], "left_anti")
-    more = written(confirmed(within(across, sigs, FAR), sets, percent), "across")
+    more = written(confirmed(across, sets, percent), "across")
     if not more.isEmpty():
         comp = written(components(links.union(more), "a", "b"), "components")
     drop(sets)
