@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mix, neardup, pii, suffix, toxicity, url_filter
+from . import decontaminate, mix, multiindex, neardup, pii, suffix, toxicity, url_filter
 from .common import table, written
 
 #: The pseudonyms' key here; a user of the operator passes a secret of their own.
@@ -24,6 +24,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("pii").cast("long").alias("n_values"), *(_count(k).alias(f"n_{k}") for k in pii.KINDS), F.col("pii").alias("spans"), "text")
 
 
+def op2_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.similar_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -56,7 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_minhash, op5_suffix, op6_mix, op8_toxicity, op9_url_filter, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_multiindex, op3_minhash, op5_suffix, op6_mix, op8_toxicity, op9_url_filter, op10_decontaminate)}
 
 _RULES = ", ".join(f"('{v}', '{e.partition('/')[0]}', '/{e.partition('/')[2]}', '{e}')" for v, e in RULES)
 ORACLES = {
