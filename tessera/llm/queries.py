@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mix, multiindex, neardup, pii, suffix, toxicity, url_filter
+from . import decontaminate, mix, multiindex, neardup, pii, suffix, toxicity, url_filter, wrapper
 from .common import table, written
 
 #: The pseudonyms' key here; a user of the operator passes a secret of their own.
@@ -32,6 +32,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op4_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = wrapper.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["after"] - x["first"])
@@ -60,7 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_multiindex, op3_minhash, op5_suffix, op6_mix, op8_toxicity, op9_url_filter, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_multiindex, op3_minhash, op4_wrapper, op5_suffix, op6_mix, op8_toxicity, op9_url_filter, op10_decontaminate)}
 
 _RULES = ", ".join(f"('{v}', '{e.partition('/')[0]}', '/{e.partition('/')[2]}', '{e}')" for v, e in RULES)
 ORACLES = {
