@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mix, multiindex, neardup, pii, suffix, toxicity, url_filter, wrapper
+from . import compact, decontaminate, mix, multiindex, neardup, pii, suffix, toxicity, url_filter, wrapper
 from .common import table, written
 
 #: The pseudonyms' key here; a user of the operator passes a secret of their own.
@@ -48,6 +48,10 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.learn(written(toxicity.labelled(docs, table(spark, sf_dir, "labels")), "labelled"))
@@ -65,7 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_multiindex, op3_minhash, op4_wrapper, op5_suffix, op6_mix, op8_toxicity, op9_url_filter, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_multiindex, op3_minhash, op4_wrapper, op5_suffix, op6_mix, op7_compact, op8_toxicity, op9_url_filter, op10_decontaminate)}
 
 _RULES = ", ".join(f"('{v}', '{e.partition('/')[0]}', '/{e.partition('/')[2]}', '{e}')" for v, e in RULES)
 ORACLES = {
