@@ -1,7 +1,9 @@
 """Shared parts: folders that all executors see, Arrow text buffers, vectorised words and shingles, components."""
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -50,6 +52,13 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing holds any more, as it does after each collection of the driver's garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the files of a written() table that nothing reads any more."""
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:

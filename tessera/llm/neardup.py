@@ -1,6 +1,8 @@
 """MinHash near-dedup by a multi-index Hamming join over b-bit signatures, with links confirmed on the full shingle sets."""
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +18,10 @@ _U = np.uint64
 #: 0.42, so all CHUNKS have with 1e-6: that is the share of such pairs outside the guarantee that is also missed.
 CHUNKS, WIDTH = 16, 7
 _N = CHUNKS * WIDTH
-#: Pairs across components are read in full if the signatures' lowest bits differ in at most FAR places (at the least
-#: similarity 11 of 112 are expected, and more than FAR come once in 5e7).
-FAR = 30
+#: Pairs across components are read in full if the lowest four bits of all symbols differ in at most FAR places (at the least
+#: similarity 45 of 448 are expected, with a deviation of 10; more than FAR come about once in 1e5 such pairs).
+FAR = 90
+BITS = [f"b{i}" for i in range(_N * 4 // 64)]
 _XOR = _random(_N, 21).astype(np.uint32)
 _MUL = _random(_N, 22).astype(np.uint32) | np.uint32(1)
 _COEF = _random(_N, 23).reshape(1, CHUNKS, WIDTH) | _U(1)
@@ -42,7 +45,7 @@ def keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, b1, b2, sig) of each row; b1 and b2 are the symbols' lowest bits; h1 and h2 are null where the
+    """(doc_id, n_shingles, h1, h2, b0 to b6, sig) of each row; the b hold the symbols' lowest four bits; h1 and h2 are null where the
     set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,12 +57,13 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 sig = np.zeros((j - i, _N), np.uint16)
                 if len(g):
                     sig[n > 0] = signatures(g, to)
-                bits = np.packbits(np.pad(sig & 1, ((0, 0), (0, 128 - _N))).astype(bool), axis=1).view(np.int64)
+                nibbles = (sig & 15).astype(np.uint8)
+                bits = (nibbles[:, ::2] | nibbles[:, 1::2] << 4).view(np.int64)
                 flat = pa.Array.from_buffers(pa.binary(2 * _N), j - i, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
                 h = [pa.array(signed(set_hash(g, to, s)), mask=n == 0) for s in (1, 2)]
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(n), *h, pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), flat], ["doc_id", "n_shingles", "h1", "h2", "b1", "b2", "sig"])
+                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(n), *h, *(pa.array(bits[:, x].copy()) for x in range(len(BITS))), flat], ["doc_id", "n_shingles", "h1", "h2", *BITS, "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, b1 long, b2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, n_shingles long, h1 long, h2 long, {', '.join(f'{x} long' for x in BITS)}, sig binary")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -129,7 +133,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links are united. Empty tables give empty results."""
     docs = docs.select("doc_id", "text")
     sk = written(sketch(docs, shingle), "sketch")
-    classes = sk.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in ("n_shingles", "b1", "b2", "sig")))
+    classes = sk.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in ("n_shingles", *BITS, "sig")))
     classes = written(classes, "classes")
     cand = written(buckets(classes.where("id is not null")), "buckets")
     pairs = written(cand.where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
@@ -140,9 +144,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     told = ids.join(comp, ids.id == comp.node, "left").select("id", F.coalesce("component", "id").alias("c"))
     member = written(cand.select("key", "id").join(told, "id"), "members")
     mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = member.join(mixed, "key", "left_semi").join(classes.select("id", F.col("n_shingles").alias("n"), "b1", "b2"), "id")
-    x, y = (left.select("key", *(F.col(c).alias(c + s) for c in ("id", "c", "n", "b1", "b2"))) for s in ("x", "y"))
-    far = F.bit_count(F.col("b1x").bitwiseXOR(F.col("b1y"))) + F.bit_count(F.col("b2x").bitwiseXOR(F.col("b2y")))
+    left = member.join(mixed, "key", "left_semi").join(classes.select("id", F.col("n_shingles").alias("n"), *BITS), "id")
+    x, y = (left.select("key", *(F.col(c).alias(c + s) for c in ("id", "c", "n", *BITS))) for s in ("x", "y"))
+    far = reduce(add, (F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in BITS))
     alike = (F.col("cx") < F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (far <= FAR)
     across = x.join(y, (x.key == y.key) & alike).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
     across = across.join(pairs, ["a", "b"], "left_anti")

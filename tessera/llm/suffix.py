@@ -4,7 +4,8 @@ Suffixes are ordered only through `size` bytes, so equal groups are exactly the
 any part of a window that equal windows share at the same place. The first digit is the window's least hash of GRAM bytes
 (the leftmost of equals): all windows with the same such place in a text travel as one row, a run. Runs whose digit occurs once leave. The second
 digit is the run's whole content: equal runs repeat in each of their windows. What is left, runs that agree in the first digit
-but not in all bytes, goes on window by window, with all of a window's bytes as the last digit."""
+but not in all bytes, goes on in blocks of STEP windows, with the bytes that a block's windows share as the digit, and last
+window by window."""
 
 from collections.abc import Iterator
 
@@ -13,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, mix, pieces, signed, span_hash, sums, written
+from .common import PIECE, mix, pieces, signed, span_hash, sums, tidy, written
 
 _U = np.uint64
-GRAM = 24
+GRAM, STEP = 24, 8
 
 
 def runs(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
@@ -132,37 +133,61 @@ def _sorted_pass(rows: DataFrame) -> DataFrame:
     return rows.repartition("d").sortWithinPartitions("d", "c", "doc_id", "place").mapInArrow(run, _ROW)
 
 
-def _windows(docs: DataFrame, left: DataFrame, size: int) -> DataFrame:
-    """The single windows of runs (doc_id, d, first, last, place), with the digit of each: its bytes, and where the first digit stands."""
+def _content(docs: DataFrame, left: DataFrame, size: int) -> DataFrame:
+    """Runs (doc_id, d, first, last, place) with their bytes, b."""
     per = left.groupBy("doc_id").agg(F.collect_set(F.struct("d", "first", "last", "place")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for i, j, data, off in pieces(b.column(1), PIECE // 4):
-                part = b.column(2).slice(i, j - i)
-                flat, lens = part.flatten(), part.value_lengths().to_numpy()
-                doc = np.repeat(np.arange(j - i), lens)
-                d, first, last, place = (flat.field(k).to_numpy() for k in range(4))
-                count = (last - first + 1).astype(np.int64)
+            for i in range(b.num_rows):
+                raw = b.column(1)[i].as_py().encode()
+                flat = b.column(2)[i].values
+                d, first, last, place = (flat.field(k) for k in range(4))
+                cut = [raw[x : y + size] for x, y in zip(first.to_pylist(), last.to_pylist(), strict=True)]
+                whole = pa.array([len(c) == y - x + size for c, x, y in zip(cut, first.to_pylist(), last.to_pylist(), strict=True)])  # a repeated doc_id may have another text
+                yield pa.RecordBatch.from_arrays([x.filter(whole) for x in (pa.array([b.column(0)[i].as_py()] * len(cut), pa.int64()), d, first, last, place, pa.array(cut, pa.binary()))], ["doc_id", "d", "first", "last", "place", "b"])
+
+    return docs.join(per, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, d long, first int, last int, place int, b binary")
+
+
+def _digits(rows: DataFrame, size: int, step: int) -> DataFrame:
+    """Rows of the next digit for runs with bytes b from `base`: blocks of `step` windows, in step with the first digit's place.
+
+    The digit is what all windows of a block have in common; the content is all of the block's bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2000):
+                b = batch.slice(s, 2000)
+                ids, d, first, last, place, base = (b.column(i).to_numpy() for i in range(6))
+                raw = b.column(6).to_pylist()
+                pre = sums(np.frombuffer(b"".join(raw), np.uint8))
+                off = np.cumsum([0, *map(len, raw)])[:-1] - base
+                far, near = (place - first) // step, (place - last) // step
+                count = (far - near + 1).astype(np.int64)
                 r = np.repeat(np.arange(len(d)), count)
-                s = first[r] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                at = off[doc[r]] + s
-                ok = at + size <= off[doc[r] + 1]  # a repeated doc_id may have another text
-                r, s, at = r[ok], s[ok], at[ok]
-                h = span_hash(sums(data), at, at + size)
-                o = (place[r] - s).astype(_U)
-                yield from _combined(mix(d[r].view(_U) ^ h ^ (o << _U(40))), h, ids[i:j][doc[r]], s, s, place[r])
+                block = np.repeat(near, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                top = place[r] - block * step
+                lo, hi, o = np.maximum(first[r], top - step + 1), np.minimum(last[r], top), off[r]
+                core = span_hash(pre, o + top, o + top - step + 1 + size)
+                whole = span_hash(pre, o + lo, o + hi + size)
+                yield from _combined(mix(d[r].view(_U) ^ core ^ (block.astype(_U) << _U(40))), mix(whole ^ ((place[r] - lo).astype(_U) << _U(32))), ids[r], lo, hi, place[r])
 
-    return docs.join(per, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, _ROW)
+    return rows.select("doc_id", "d", "first", "last", "place", "base", "b").mapInArrow(run, _ROW)
 
 
 def repeats(docs: DataFrame, size: int = 100) -> DataFrame:
     """(doc_id, first, last): windows of `size` bytes, from first to last, that also start earlier; docs: (doc_id, text)."""
+    spark = docs.sparkSession
     one = written(_sorted_pass(_first_pass(docs, size)), "digit1")
-    left = one.where("kind = 2").select("doc_id", "d", "first", "last", "place")
-    two = written(_sorted_pass(_windows(docs, left, size)), "digit2")
-    return one.union(two).where("kind = 1").select("doc_id", "first", "last")
+    tidy(spark)
+    content = written(_content(docs, one.where("kind = 2"), size).withColumn("base", F.col("first")), "content")
+    tidy(spark)
+    two = written(_sorted_pass(_digits(content, size, STEP)), "digit2")
+    left = two.where("kind = 2").select("doc_id", "place", "d", "first", "last").join(content.select("doc_id", "place", "base", "b").dropDuplicates(["doc_id", "place"]), ["doc_id", "place"])
+    three = written(_sorted_pass(_digits(left, size, 1)), "digit3")
+    tidy(spark)
+    return one.union(two).union(three).where("kind = 1").select("doc_id", "first", "last")
 
 
 def dedup_substrings(docs: DataFrame, size: int = 100) -> DataFrame:
