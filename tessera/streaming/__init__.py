@@ -1,0 +1 @@
+"""Structured Streaming: a stream of documents' changes into versioned tables."""
