@@ -187,7 +187,18 @@ def numbered(root: Node) -> Node:
 
 
 def _own_text(node: Node) -> str:
-    return " ".join(html.unescape(" ".join(x for x in node.parts if isinstance(x, str))).split()) if node.tag not in RAW else ""
+    """Text of a block without the blocks inside it; inline elements are part of their block and have none of their own."""
+    if node.tag in RAW or node.tag in INLINE:
+        return ""
+
+    def own(n: Node) -> Iterator[str]:
+        for x in n.parts:
+            if isinstance(x, str):
+                yield x
+            elif x.tag in INLINE:
+                yield from own(x) if x.tag != "br" else (" ",)
+
+    return " ".join(html.unescape("".join(own(node))).split())
 
 
 def main_text(page: str, wrapper: tuple[Node, frozenset[int]] | None = None) -> str:
@@ -257,6 +268,8 @@ def _blocks(regions: list[Node], constant: set[int]) -> list[tuple[str, int, int
                     flush()
                 continue
             inline = x.tag in INLINE
+            if inline and fixed:
+                continue
             head = x.tag == "header" or "header" in words_of(x) if x.attrs or x.tag == "header" else False
             if not inline:
                 flush()
