@@ -166,3 +166,31 @@ def test_passages(spark):
         assert v[a : z + 1].min() == v[c] and z - a >= 19 and (a in to or v[a - 1] < v[c]) and (z + 1 in to or v[z + 1] < v[c])
 
 
+
+
+def test_passage_in_edited_copy():
+    rng = np.random.default_rng(5)
+    a = rng.integers(1, 1 << 60, 400).astype(np.uint64)
+    b = a.copy()
+    spoiled = np.setdiff1d(np.arange(400), np.arange(150, 200))[::2]
+    b[spoiled] = rng.integers(1, 1 << 60, len(spoiled)).astype(np.uint64)
+    i, j, k, m, s = compact.verify(a, b, 46, 0.8)
+    assert s >= 0.8 and j - i >= 45 and k <= 154 and m >= 195
+    assert compact.verify(a, b[:149], 46, 0.8) is None
+    assert compact.verify(a, b[:0], 46, 0.8) is None
+
+
+def test_passages_in_small_batches(spark):
+    words = [f"w{i}" for i in range(3000)]
+    rng = np.random.default_rng(6)
+    text = lambda n: [words[i] for i in rng.integers(0, 3000, n)]
+    shared = [text(60) for _ in range(3)]
+    rows = [(i, " ".join(text(80) + shared[i % 3] + text(40))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    usual = set(compact.near_passages(df).collect())
+    assert {r["doc_id"] for r in usual} | {r["other_id"] for r in usual} == set(range(30))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert set(compact.near_passages(df).collect()) == usual
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
