@@ -39,3 +39,30 @@ def jaccard(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+#: Words in a source's name or opening that tell its authority; the first row that fits holds.
+AUTHORITY = [
+    ("regulation|directive|standard|unece|iso|iec|statute|law|compliance", 0.95),
+    ("contract|agreement|certification|audit", 0.88),
+    ("report|test|measurement|telemetry|analysis", 0.80),
+    ("spec|specification|requirement|design", 0.75),
+    ("minutes|memo|email|note|draft|slack", 0.55),
+]
+#: Forms of a date, each with its pattern.
+DATES = [(r"^\d{4}-\d\d?-\d\d?$", "y-M-d"), (r"^\d{4}/\d\d?/\d\d?$", "y/M/d"), (r"^\d\d?-\d\d?-\d{4}$", "d-M-y"), (r"^\d\d?/\d\d?/\d{4}$", "d/M/y"), (r"^\d{4}-\d\d?$", "y-M"), (r"^\d{4}$", "y")]
+
+
+def authority(name: Column, text: Column) -> Column:
+    """Authority of a source by its name and the 400 characters in which it presents itself; 0.65 where nothing fits."""
+    probe = F.lower(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.substring(F.coalesce(text, F.lit("")), 1, 400)))
+    out = F.lit(0.65)
+    for pattern, score in reversed(AUTHORITY):
+        out = F.when(probe.rlike(pattern), score).otherwise(out)
+    return out
+
+
+def parse_date(raw: Column) -> Column:
+    """UTC time of a text in any form of DATES or in ISO 8601; null for anything else."""
+    t = F.trim(raw)
+    return F.coalesce(*(F.when(t.rlike(form), F.try_to_timestamp(t, F.lit(pattern))) for form, pattern in DATES), F.when(t.rlike(r"^\d{4}-\d\d-\d\d[T ]"), t.try_cast("timestamp")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quantity as Q
 from ..functions import text as X
-from ..operators import beliefs, propagation, relational
+from ..operators import beliefs, lineage, propagation, relational
 from ..sources.graph import CRITICALITY, NOW, STATUSES, edges, nodes, observations, read
 
 S = SparkSession
@@ -132,9 +132,57 @@ def debounce(s: S, d: str) -> DataFrame:
     return read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id", w).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event")).select("user_id", "n", "first_event")
 
 
+def decision_basis(s: S, d: str) -> DataFrame:
+    return lineage.decision_basis(nodes(s, d), edges(s, d))
+
+
+def decision_audit(s: S, d: str) -> DataFrame:
+    return lineage.decision_audit(nodes(s, d), edges(s, d))
+
+
+def supersessions(s: S, d: str) -> DataFrame:
+    return lineage.supersessions(observations(s, d))
+
+
+def retired_source(s: S, d: str) -> DataFrame:
+    n = lineage.retire(nodes(s, d), F.col("label").endswith("7"))
+    return n.select("id", "status", F.round("confidence", 4).alias("confidence"))
+
+
+def relationships(s: S, d: str) -> DataFrame:
+    return lineage.relationships(nodes(s, d), edges(s, d))
+
+
+def ranked_view(s: S, d: str) -> DataFrame:
+    return lineage.ranked_view(nodes(s, d), edges(s, d), 20).select("source", "target", "type")
+
+
+def neighbourhood(s: S, d: str) -> DataFrame:
+    return lineage.neighbourhood(edges(s, d), nodes(s, d).where("id in ('S1', 'C1')").select("id"), 2, 200)
+
+
+def label_match(s: S, d: str) -> DataFrame:
+    return lineage.label_match(nodes(s, d), ["a", "Customer", "urgent", "nowhere"])
+
+
+def known_predicates(s: S, d: str) -> DataFrame:
+    return observations(s, d).select("predicate").distinct()
+
+
+def source_authority(s: S, d: str) -> DataFrame:
+    return read(s, d, "documents").select("doc_id", X.authority(F.col("source"), F.col("text")).alias("authority"))
+
+
+def order_dates(s: S, d: str) -> DataFrame:
+    """Dates written in six forms, read back."""
+    forms = F.array(*(F.date_format("o_orderdate", f) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM", "yyyy")))
+    raw = F.element_at(forms, (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return read(s, d, "orders").select("o_orderkey", F.to_date(X.parse_date(raw)).alias("day"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (conflicts, credibility, live_beliefs, expired_beliefs, as_of, constraint_violations, timeline, current_belief, graph_stats, node_page, orphan_nodes, induced_edges, degree_centrality, propagation_graph, downstream, impact, pagerank, node_uncertainty, knowledge_health, price_change, fingerprints, html_text, chunk_diff, vector_search, upsert, debounce)
+    for f in (conflicts, credibility, live_beliefs, expired_beliefs, as_of, constraint_violations, timeline, current_belief, graph_stats, node_page, orphan_nodes, induced_edges, degree_centrality, propagation_graph, downstream, impact, pagerank, node_uncertainty, knowledge_health, price_change, fingerprints, html_text, chunk_diff, vector_search, upsert, debounce, decision_basis, decision_audit, supersessions, retired_source, relationships, ranked_view, neighbourhood, label_match, known_predicates, source_authority, order_dates)
 }
 
 _status = "[" + ", ".join(f"'{x}'" for x in STATUSES) + "]"
@@ -178,4 +226,19 @@ SELECT live, orphans, decisions, without_lineage, round(a, 4) AS avg_confidence,
     "vector_search": "WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, q WHERE vec_id <> qid ORDER BY score DESC, vec_id LIMIT 10",
     "upsert": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) SELECT user_id, event_id, value FROM r WHERE k = 1 AND event_type <> 'error'",
     "debounce": "WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM a) SELECT user_id, count(*) AS n, min(event_id) AS first_event FROM s GROUP BY user_id, g",
+    "decision_basis": f"WITH {_NODES}, {_EDGES} SELECT DISTINCT source AS decision, target AS id, type AS role FROM e WHERE type IN ('BASED_ON', 'DEPENDS_ON') AND source IN (SELECT id FROM n WHERE type = 'Decision')",
+    "decision_audit": f"WITH {_NODES}, {_EDGES} SELECT DISTINCT source AS decision, target AS id, e.type AS role, n.status, n.status IN ('CONTRADICTED', 'INVALIDATED', 'SUPERSEDED', 'CONTESTED') AS changed FROM e JOIN n ON n.id = e.target WHERE e.type IN ('BASED_ON', 'DEPENDS_ON') AND source IN (SELECT id FROM n WHERE type = 'Decision')",
+    "supersessions": f"WITH {_OBS}, w AS (SELECT id AS source, lag(id) OVER (PARTITION BY subject, predicate ORDER BY valid_from, id) AS target, greatest(confidence, 0.6::DOUBLE) AS confidence FROM o WHERE status NOT IN {_DEAD}) SELECT source, target, 'SUPERSEDES' AS type, 0.95::DOUBLE AS weight, confidence FROM w WHERE target IS NOT NULL",
+    "retired_source": f"WITH {_NODES}, h AS (SELECT *, ends_with(label, '7') AND status NOT IN {_DEAD} AS hit FROM n) SELECT id, CASE WHEN hit THEN 'UNVERIFIED' ELSE status END AS status, round(CASE WHEN hit THEN greatest(confidence * 0.7::DOUBLE, 0.1::DOUBLE) ELSE confidence END, 4) AS confidence FROM h",
+    "relationships": f"WITH {_NODES}, {_EDGES}, b AS (SELECT source AS id, 'out' AS direction, type, target AS neighbour FROM e UNION ALL SELECT target, 'in', type, source FROM e) SELECT b.id, direction, b.type, neighbour, coalesce(n.label, neighbour) AS label FROM b LEFT JOIN n ON n.id = neighbour",
+    "ranked_view": f"""WITH {_NODES}, {_EDGES}, r AS (SELECT id, {_CRIT} AS c FROM n), core AS (SELECT id FROM r ORDER BY c DESC, id LIMIT 20), p AS (SELECT source AS id, target AS nxt FROM e UNION SELECT target, source FROM e),
+more AS (SELECT id FROM r WHERE id IN (SELECT nxt FROM p WHERE id IN (SELECT id FROM core)) AND id NOT IN (SELECT id FROM core) ORDER BY c DESC, id LIMIT 20), k AS (SELECT id FROM core UNION SELECT id FROM more)
+SELECT source, target, type FROM e WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)""",
+    "neighbourhood": f"""WITH {_EDGES}, p AS (SELECT source AS u, target AS v FROM e UNION SELECT target, source FROM e), one AS (SELECT DISTINCT u AS seed, v AS id FROM p WHERE u IN ('S1', 'C1')),
+a AS (SELECT seed, id, min(depth) AS depth FROM (SELECT seed, id, 1 AS depth FROM one UNION ALL SELECT seed, v, 2 FROM one JOIN p ON one.id = p.u) WHERE id <> seed GROUP BY seed, id)
+SELECT seed, id, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, id) AS r FROM a) WHERE r <= 200""",
+    "label_match": f"WITH {_NODES}, k AS (SELECT unnest(['a', 'Customer', 'urgent', 'nowhere']) AS needle), m AS (SELECT needle, id, row_number() OVER (PARTITION BY needle ORDER BY length(label), id) AS r FROM k JOIN n ON contains(lower(label), lower(needle))) SELECT needle, id FROM m WHERE r = 1",
+    "known_predicates": "SELECT DISTINCT event_type AS predicate FROM events",
+    "source_authority": "WITH x AS (SELECT doc_id, lower(coalesce(source, '') || ' ' || substr(coalesce(text, ''), 1, 400)) AS p FROM documents) SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(p, '{p}') THEN {v}::DOUBLE" for p, v in X.AUTHORITY) + " ELSE 0.65::DOUBLE END AS authority FROM x",
+    "order_dates": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 4 THEN date_trunc('month', o_orderdate)::DATE WHEN 5 THEN date_trunc('year', o_orderdate)::DATE ELSE o_orderdate::DATE END AS day FROM orders",
 }

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import quantity as Q
 from tessera.functions import text as X
-from tessera.operators import propagation, relational
+from tessera.operators import lineage, propagation, relational
 from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +80,27 @@ def test_query_equals_its_sql(spark, name):
     order = ", ".join(f'"{c}"' for c in got.columns)
     norm = lambda rows: sorted((tuple(round(v, 5) if isinstance(v, float) else str(v) if hasattr(v, "year") else v for v in r) for r in rows), key=str)
     assert norm(map(tuple, got.collect())) == norm(con.sql(f"select {order} from ({registry.ORACLES[name]}) q").fetchall()), want
+
+
+def test_dates_and_authority(spark):
+    raw = ["2024-03-05", "2024/3/5", "05-03-2024", "5/3/2024", "2024-03", "2024", "2024-03-05T10:00:00Z", "2024-13-40", "soon", "", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, x string")
+    got = [r[0] for r in df.select("i", F.date_format(X.parse_date(F.col("x")), "yyyy-MM-dd HH").alias("t")).orderBy("i").select("t").collect()]
+    assert got == ["2024-03-05 00"] * 4 + ["2024-03-01 00", "2024-01-01 00", "2024-03-05 10"] + [None] * 4
+    names = spark.createDataFrame([("iso-1.md", ""), ("supplier-contract.md", "a report"), ("x.md", None), (None, "draft")], "n string, t string")
+    assert sorted(r[0] for r in names.select(X.authority(F.col("n"), F.col("t"))).collect()) == [0.55, 0.65, 0.88, 0.95]
+
+
+def test_retired_evidence_and_basis(spark):
+    n = spark.createDataFrame([("e", "Evidence", "SUPPORTED", 0.8), ("c", "Claim", "CONTESTED", 0.1), ("d", "Decision", "SUPERSEDED", 0.8), ("k", "Claim", "SUPPORTED", None)], "id string, type string, status string, confidence double")
+    got = {r.id: (r.status, r.confidence) for r in lineage.retire(n, F.col("id") != "k").collect()}
+    assert got == {"e": ("INVALIDATED", 0.8), "c": ("UNVERIFIED", 0.1), "d": ("SUPERSEDED", 0.8), "k": ("SUPPORTED", None)}
+    e = spark.createDataFrame([("d", "c", "BASED_ON"), ("c", "d", "CONSTRAINS"), ("e", "d", "CONSTRAINS"), ("c", "e", "BASED_ON")], "source string, target string, type string")
+    assert {tuple(r) for r in lineage.decision_basis(n, e).collect()} == {("d", "c", "BASED_ON"), ("d", "e", "CONSTRAINS")}
+
+
+def test_only_reading_statements(spark):
+    assert lineage.read_only(spark, "WITH x AS (SELECT 1 AS a) SELECT a FROM x WHERE 'drop it' <> ''").first()[0] == 1
+    for bad in ("DROP TABLE x", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "/* select */ delete from t"):
+        with pytest.raises(ValueError):
+            lineage.read_only(spark, bad)
