@@ -22,6 +22,10 @@ _N = CHUNKS * WIDTH
 #: similarity 45 of 448 are expected, with a deviation of 10; more than FAR come about once in 1e5 such pairs).
 FAR = 90
 BITS = [f"b{i}" for i in range(_N * 4 // 64)]
+#: A full set's parity bits: each shingle flips one of them, so two sets' bits differ in no more places than the sets in shingles. Pairs
+#: whose bits differ in more places than a link allows are never links; sets of many more shingles than bits pass without being told apart.
+PARITY = 1024
+ODD = [f"p{i}" for i in range(PARITY // 64)]
 _XOR = _random(_N, 21).astype(np.uint32)
 _MUL = _random(_N, 22).astype(np.uint32) | np.uint32(1)
 _COEF = _random(_N, 23).reshape(1, CHUNKS, WIDTH) | _U(1)
@@ -102,17 +106,29 @@ def buckets(reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(runs, "key long, rep long, id long")
 
 
+def parity(g: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """A row of PARITY bits, as len(ODD) integers, for each set; g: sets one after another, to: where each begins."""
+    out = np.empty((len(to) - 1, len(ODD)), np.int64)
+    for i in range(0, len(out), 1000):
+        j = min(i + 1000, len(out))
+        place = np.repeat(np.arange(j - i), np.diff(to[i : j + 1])) * PARITY + (mix(g[to[i] : to[j]]) % _U(PARITY)).astype(np.int64)
+        odd = np.bincount(place, minlength=(j - i) * PARITY).reshape(j - i, PARITY) & 1
+        out[i:j] = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+    return out
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, s): the full shingle sets, of hashes of 64 bits, of the documents in ids (id)."""
+    """(id, n, p0 to p15, s): the full shingle sets, of hashes of 64 bits, of the documents in ids (id), their sizes and parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, off in pieces(b.column(1)):
                 g, to = shingle_sets(data, off, k)
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(signed(g)))], ["id", "s"])
+                odd = parity(g, to)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(np.diff(to)), *(pa.array(odd[:, x].copy()) for x in range(len(ODD))), pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(signed(g)))], ["id", "n", *ODD, "s"])
 
     few = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return few.mapInArrow(run, "id long, s array<long>")
+    return few.mapInArrow(run, f"id long, n long, {', '.join(f'{x} long' for x in ODD)}, s array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -144,10 +160,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     told = ids.join(comp, ids.id == comp.node, "left").select("id", F.coalesce("component", "id").alias("c"))
     member = written(cand.select("key", "id").join(told, "id"), "members")
     mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = member.join(mixed, "key", "left_semi").join(classes.select("id", F.col("n_shingles").alias("n"), *BITS), "id")
-    x, y = (left.select("key", *(F.col(c).alias(c + s) for c in ("id", "c", "n", *BITS))) for s in ("x", "y"))
-    far = reduce(add, (F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in BITS))
-    alike = (F.col("cx") < F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (far <= FAR)
+    left = member.join(mixed, "key", "left_semi").join(classes.select("id", *BITS), "id").join(sets.drop("s"), "id")
+    x, y = (left.select("key", *(F.col(c).alias(c + s) for c in ("id", "c", "n", *BITS, *ODD))) for s in ("x", "y"))
+    far, odd = (reduce(add, (F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in bits)) for bits in (BITS, ODD))
+    alike = (F.col("cx") < F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (far <= FAR) & ((100 + percent) * odd <= (100 - percent) * (F.col("nx") + F.col("ny")))
     across = x.join(y, (x.key == y.key) & alike).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
     across = across.join(pairs, ["a", "b"], "left_anti")
     more = written(confirmed(across, sets, percent), "across")

@@ -45,6 +45,30 @@ def test_neardup_brute(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_parity_never_exceeds_the_difference():
+    g = np.random.default_rng(1).integers(0, 1 << 63, 6000).astype(np.uint64)
+    sets = [np.unique(g[a:b]) for a, b in ((0, 0), (0, 1), (0, 150), (20, 160), (100, 5000), (1, 6000), (0, 0))]
+    bits = neardup.parity(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    for x, a in zip(sets, bits, strict=True):
+        for y, b in zip(sets, bits, strict=True):
+            assert sum(int(v & np.uint64(0xFFFFFFFFFFFFFFFF)).bit_count() for v in (a ^ b).view(np.uint64)) <= len(np.setxor1d(x, y))
+
+
+def test_neardup_of_edited_copies(spark):
+    """A group of copies so edited that their similarities lie on either side of the threshold, brute force included."""
+    r, base = random.Random(8), [f"w{i}" for i in range(120)]
+    texts = {i: " ".join(f"e{i}x{k}" if r.random() < share else w for k, w in enumerate(base)) for i, share in ((i, r.choice((0.02, 0.05, 0.08))) for i in range(150))}
+    sets = {i: {*zip(t.split(), t.split()[1:])} for i, t in texts.items()}
+    comp = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in range(10):
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert 1 < len({*comp.values()}) < 150
+    got = neardup.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string"), shingle=2).collect()
+    assert {x.doc_id: x.component_id for x in got} == comp
+
+
 def test_suffix_brute(spark):
     df, rows = corpus(spark)
     got = suffix.dedup_substrings(df).select("doc_id", "spans", "kept").collect()
