@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 #: Equal parts that a length's documents are dealt into by hash; only one part of each length is ever ordered.
 PARTS = 256
+#: The plan, a row for each source and length, is broadcast up to so many rows and so many bytes of source names; a larger one is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 1 << 24
 
 
 def word_count(text: Column | str) -> Column:
@@ -82,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     count each; which of rows that agree in doc_id and length comes first is settled by nothing else, so a boundary may fall
     between them either way. Empty tables give empty results. Own columns with the names of the new ones are replaced."""
     spark = docs.sparkSession
-    new = ("size", "source_size", "target", "taken", "_repeats", "_hash", "_part", "_src", "_full", "_edge", "_need", "_rank", "_base")
+    new = ("size", "source_size", "target", "taken", "_repeats", "_hash", "_part", "_src", "_full", "_edge", "_need", "_add", "_base", "_upto", "_cut")
     kept = [c for c in docs.columns if c not in new]
     rows = docs.select(*kept, word_count("text").alias("size"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)).alias("_hash"), F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("_src")).withColumn("_part", F.pmod("_hash", F.lit(PARTS)).cast("int"))
     hist = rows.groupBy("_src", "size", "_part").agg(F.count("*").alias("n"))
@@ -115,9 +117,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     parts = hist.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(plan, ["_src", "size"])
     # a part is taken whole, not at all, or (one part of each length) up to a rank
     parts = written(parts.select("_src", "size", "_part", "source_size", "target", "_base", F.greatest(F.lit(0), F.least("n", F.col("_need") - F.col("before"))).alias("_need"), ((F.col("_need") > F.col("before")) & (F.col("_need") < F.col("before") + F.col("n"))).alias("_edge")), "plan")
-    told = rows.join(parts, ["_src", "size", "_part"])
     rank = Window.partitionBy("_src", "size", "_part").orderBy("_hash", "doc_id")
-    edge = told.where("_edge").withColumn("_rank", F.row_number().over(rank)).withColumn("_add", F.when(F.col("_rank") <= F.col("_need"), 1).otherwise(0)).drop("_rank")
-    rest = told.where("not _edge").withColumn("_add", F.when(F.col("_need") > 0, 1).otherwise(0))
-    both = edge.unionByName(rest)
+    whole = F.when(~F.col("_edge") & (F.col("_need") > 0), F.col("_part"))
+    short = parts.groupBy("_src", "size").agg(*(F.max(c).alias(c) for c in ("source_size", "target", "_base")), F.coalesce(F.max(whole), F.lit(-1)).alias("_upto"), F.max(F.when(F.col("_edge"), F.col("_part"))).alias("_cut"), F.max(F.when(F.col("_edge"), F.col("_need"))).alias("_need"))
+    short = written(short, "cuts")
+    n, named = short.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_src")), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and named <= BROADCAST_BYTES:
+        # whole rows stay where they are, but for the part of each length that is ordered
+        told = rows.join(F.broadcast(short), ["_src", "size"])
+        at_edge = F.col("_part").eqNullSafe(F.col("_cut"))
+        edge = told.where(at_edge).withColumn("_add", F.when(F.row_number().over(rank) <= F.col("_need"), 1).otherwise(0))
+        both = edge.unionByName(told.where(~at_edge).withColumn("_add", F.when(F.col("_part") <= F.col("_upto"), 1).otherwise(0)))
+    else:
+        # join and ranks share one shuffle of the rows
+        both = rows.join(parts, ["_src", "size", "_part"]).withColumn("_add", F.when(F.row_number().over(rank) <= F.col("_need"), 1).otherwise(0))
     return both.select(*kept, "size", "source_size", "target", (F.col("size") * (F.col("_base") + F.col("_add"))).cast("long").alias("taken"), (F.col("_base") + F.col("_add")).cast("int").alias("_repeats"))

@@ -118,6 +118,19 @@ def test_mix_keeps_targets(spark):
     assert mix.targets([10, 100, 1000], [5, 2, 1], 3) == [30.0, 300.0, 780.0] and mix.knapsack([1, 3, 7], [10, 5, 5], 33) is not None
 
 
+def test_mix_by_shuffle_agrees(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 4}" if i % 5 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = lambda: sorted(map(tuple, mix.mix(df).select("doc_id", "size", "source_size", "target", "taken", "_repeats").collect()))
+    near = told()
+    monkeypatch.setattr(mix, "BROADCAST_ROWS", 0)
+    assert told() == near and len(near) == 3000
+    got = {}
+    for _, _, size, target, taken, _ in near:
+        got[size, target] = got.get((size, target), 0) + taken
+    assert all(abs(taken - target) <= 7 for (_, target), taken in got.items())
+
+
 def test_pii_round_trip_and_links(spark):
     p = pii.Pseudonyms(b"k")
     t = "4799134681044206 a.b@c.example.com +1 (319) 555-5132 27.109.211.155 2021-03-04 12/31/1999 DE89 3704 0044 0532 0130 00 123-45-6789; 6044423740532315 2.0. 31.02.2020"
