@@ -217,6 +217,19 @@ def test_passage_in_edited_copy():
     assert compact.verify(a, b[:0], 46, 0.8) is None
 
 
+def test_every_passage_of_two_regions(spark):
+    rng = random.Random(31)
+    text = lambda n, tag: [f"{tag}{rng.randrange(10**9)}" for _ in range(n)]
+    p, q, r = text(60, "p"), text(60, "q"), text(60, "r")
+    one = [*text(30, "a"), *p, *text(20, "b"), *q, *text(200, "c"), *r]
+    two = [*text(10, "d"), *p, *text(20, "e"), *q, *text(90, "f"), *r, *text(9, "g")]
+    df = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id long, text string")
+    assert sorted((x.other_first, x.other_after, x.first, x.after) for x in compact.near_passages(df).collect()) == [(30, 90, 10, 70), (110, 170, 90, 150), (370, 430, 240, 300)]
+    v = np.arange(200, dtype=np.uint64)
+    once, twice = v[:60], np.concatenate([v[:60], v[100:120], v[:60]])
+    assert {x[:2] for x in compact.passages(twice, once, 46, 0.8)} == {(0, 59), (80, 139)} == {x[2:4] for x in compact.passages(once, twice, 46, 0.8)}
+
+
 def test_passages_in_small_batches(spark):
     words = [f"w{i}" for i in range(3000)]
     rng = np.random.default_rng(6)
