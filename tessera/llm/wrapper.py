@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -201,12 +201,16 @@ def _own_text(node: Node) -> str:
     return " ".join(html.unescape("".join(own(node))).split())
 
 
-def main_text(page: str, wrapper: tuple[Node, frozenset[int]] | None = None) -> str:
-    """Blocks of main text, joined by two newlines. wrapper: the host's reference tree and its constant nodes."""
+def _hash(text: str) -> str:
+    return xxhash.xxh64_hexdigest(text.encode(errors="surrogatepass"))
+
+
+def main_text(page: str, wrapper: tuple[Node, dict[int, str]] | None = None) -> str:
+    """Blocks of main text, joined by two newlines. wrapper: the host's reference tree, and its constant nodes with their text's hash."""
     root = parse(page)
     constant: set[int] = set()
     if wrapper and wrapper[1]:
-        constant = {id(y) for x, y in align(wrapper[0], root) if x.at in wrapper[1] and _own_text(y)}
+        constant = {id(y) for x, y in align(wrapper[0], root) if x.at in wrapper[1] and (t := _own_text(y)) and _hash(t) == wrapper[1][x.at]}
     regions = _regions(root)
     if not regions:
         regions = [root]
@@ -291,15 +295,15 @@ def extract(pages: DataFrame, least: int = 5, share: float = 0.8, url: str = "ur
     """pages with `text`, the main text of each whole page.
 
     Every host's page of the smallest hash is its reference. All pages of the host are aligned to it, and the texts of each of its nodes
-    are counted over all pages; where one text has at least `share` of at least `least` pages that differ, the node is template.
-    Then each page is aligned again and read without the template's nodes and without the parts that hold no content.
+    are counted over all pages that differ; where one text has at least `share` of at least `least` such pages, the node is template.
+    Then each page is aligned again and read without the template's nodes that have the template's text and without the parts that hold no content.
     Counting is done per task first, so a host of any size needs no group in memory. A null or empty page has an empty text; a null
     url is a host of its own. Repeated rows each give a row; an own column `text` is replaced."""
     kept = [c for c in pages.columns if c not in ("text", "_host", "_ref", "_fixed")]
     base = pages.select(*kept, host_of(F.col(url)).alias("_host"))
-    seen = base.where(F.col(page).isNotNull()).select("_host", F.col(page).alias("_page"))
-    pick = seen.select("_host", F.xxhash64("_page").alias("h")).groupBy("_host").agg(F.min("h").alias("h"), F.approx_count_distinct("h").alias("_n")).where(F.col("_n") >= least)
-    refs = seen.withColumn("h", F.xxhash64("_page")).join(pick, ["_host", "h"]).groupBy("_host").agg(F.min("_page").alias("_ref"))
+    seen = base.where(F.col(page).isNotNull()).select("_host", F.col(page).alias("_page"), F.xxhash64(page).alias("h"))
+    pick = seen.select("_host", "h").distinct().groupBy("_host").agg(F.min("h").alias("h"), F.count("*").alias("_n")).where(F.col("_n") >= least)
+    refs = seen.join(pick, ["_host", "h"]).groupBy("_host").agg(F.min("_page").alias("_ref"))
     refs = written(refs, "references")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,21 +319,22 @@ def extract(pages: DataFrame, least: int = 5, share: float = 0.8, url: str = "ur
                 for x, y in align(trees[host], parse(text)):
                     t = _own_text(y)
                     if t:
-                        c[host, x.at, xxhash.xxh64_hexdigest(t.encode(errors="surrogatepass"))] += 1
+                        c[host, x.at, _hash(t)] += 1
             rows = list(c.items())
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([k[2] for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.int64())], ["_host", "node", "t", "n"])
 
-    counted = seen.join(refs, "_host").select("_host", "_ref", "_page").mapInArrow(count, "_host string, node int, t string, n long").groupBy("_host", "node", "t").agg(F.sum("n").alias("n"))
-    counted = counted.groupBy("_host", "node").agg(F.max("n").alias("n"))
+    counted = seen.dropDuplicates(["_host", "h"]).join(refs, "_host").select("_host", "_ref", "_page").mapInArrow(count, "_host string, node int, t string, n long").groupBy("_host", "node", "t").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy("_host", "node").agg(F.max("n").alias("n"), F.max_by("t", F.struct("n", "t")).alias("t"))
     total = counted.where("node = -1").select("_host", F.col("n").alias("all"))
-    fixed = counted.where("node >= 0").join(total, "_host").where((F.col("n") >= share * F.col("all")) & (F.col("n") > 1)).groupBy("_host").agg(F.collect_list("node").alias("_fixed"))
+    fixed = counted.where("node >= 0").join(total, "_host").where((F.col("n") >= share * F.col("all")) & (F.col("n") > 1)).groupBy("_host").agg(F.collect_list(F.struct("node", "t")).alias("_fixed"))
     wrap = written(refs.join(fixed, "_host"), "wrappers")
+    tidy(pages.sparkSession)
     both = base.join(wrap, "_host", "left")
     at, n = kept.index(page), len(kept)
     shape = pages.sparkSession.createDataFrame([], pages.select(*kept).schema).withColumn("text", F.lit("")).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, tuple[Node, frozenset[int]]] = {}
+        trees: dict[str, tuple[Node, dict[int, str]]] = {}
         for b in batches:
             out = []
             hosts = b.column(n).to_pylist()
@@ -339,7 +344,7 @@ def extract(pages: DataFrame, least: int = 5, share: float = 0.8, url: str = "ur
                     if hosts[i] not in trees:
                         if len(trees) > 200:
                             trees.clear()
-                        trees[hosts[i]] = (numbered(parse(b.column(n + 1)[i].as_py())), frozenset(b.column(n + 2)[i].as_py()))
+                        trees[hosts[i]] = (numbered(parse(b.column(n + 1)[i].as_py())), {x["node"]: x["t"] for x in b.column(n + 2)[i].as_py()})
                     w = trees[hosts[i]]
                 out.append(main_text(p.as_py(), w) if p.is_valid else "")
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(out, pa.string())], [*kept, "text"])

@@ -176,6 +176,15 @@ def test_pages(spark):
     assert wrapper.main_text(article) == "x\n\ny z\n\ni\n\nj"
 
 
+def test_template_keeps_other_texts(spark):
+    page = lambda i, summary: f"<body><div class=content><p>{summary}</p><p>text {i}</p><p>All rights here</p></div>"
+    rows = [(i, "http://h/x", page(i, "no summary" if i < 9 else "a real summary")) for i in range(10)]
+    rows += [(100 + i, "http://copies/x", page(50 if i < 40 else i, "s" if i < 40 else f"s{i}")) for i in range(46)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "text 0" and got[9] == "a real summary\n\ntext 9"
+    assert got[100] == "s\n\ntext 50" and got[145] == "s45\n\ntext 45"
+
+
 def test_vectors_brute(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(300, 16))
