@@ -4,7 +4,7 @@ the same is the host's template, what varies are slots, and slots that are no na
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +186,23 @@ def numbered(root: Node) -> Node:
     return root
 
 
+#: Elements that make a page's layout; others come and go with its content.
+_FRAME = frozenset("html body header nav main article aside section footer div form table".split())
+
+
+def layout(root: Node) -> int:
+    """Hash of a page's skeleton: the distinct paths of its framing elements by tag and class, numbers in classes left out."""
+    paths, todo = set(), [(root, "")]
+    while todo:
+        x, path = todo.pop()
+        for y in x.nodes:
+            if y.tag in _FRAME:
+                at = f"{path}/{re.sub('[0-9]+', '0', signature(y))}"
+                paths.add(at)
+                todo.append((y, at))
+    return xxhash.xxh64_intdigest("\n".join(sorted(paths)).encode(errors="surrogatepass")) - (1 << 63)
+
+
 def _own_text(node: Node) -> str:
     """Text of a block without the blocks inside it; inline elements are part of their block and have none of their own."""
     if node.tag in RAW or node.tag in INLINE:
@@ -294,59 +311,77 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame, least: int = 5, share: float = 0.8, url: str = "url", page: str = "html") -> DataFrame:
     """pages with `text`, the main text of each whole page.
 
-    Every host's page of the smallest hash is its reference. All pages of the host are aligned to it, and the texts of each of its nodes
-    are counted over all pages that differ; where one text has at least `share` of at least `least` such pages, the node is template.
+    A host's pages are grouped by layout; a layout of fewer than `least` pages that differ goes with the host's largest one. Every group's
+    page of the smallest hash (of its main layout) is its reference. All pages of the group are aligned to it, and the texts of each of its
+    nodes are counted over the pages that differ; where one text has at least `share` of at least `least` such pages that have the node, it is template.
     Then each page is aligned again and read without the template's nodes that have the template's text and without the parts that hold no content.
     Counting is done per task first, so a host of any size needs no group in memory. A null or empty page has an empty text; a null
     url is a host of its own. Repeated rows each give a row; an own column `text` is replaced."""
-    kept = [c for c in pages.columns if c not in ("text", "_host", "_ref", "_fixed")]
+    kept = [c for c in pages.columns if c not in ("text", "_host", "_layout", "_ref", "_fixed")]
+
+    def laid(at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = pa.array([layout(parse(p.as_py())) if p.is_valid else None for p in b.column(at)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, "_layout"])
+
+        return run
+
+    spark = pages.sparkSession
     base = pages.select(*kept, host_of(F.col(url)).alias("_host"))
     seen = base.where(F.col(page).isNotNull()).select("_host", F.col(page).alias("_page"), F.xxhash64(page).alias("h"))
-    pick = seen.select("_host", "h").distinct().groupBy("_host").agg(F.min("h").alias("h"), F.count("*").alias("_n")).where(F.col("_n") >= least)
-    refs = seen.join(pick, ["_host", "h"]).groupBy("_host").agg(F.min("_page").alias("_ref"))
+    hosts = seen.select("_host", "h").distinct().groupBy("_host").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_host")
+    shapes = seen.join(hosts, "_host", "left_semi").mapInArrow(laid(1), "_host string, _page string, h long, _layout long").select("_host", "h", "_layout").distinct()
+    shapes = written(shapes, "layouts")
+    sizes = shapes.groupBy("_host", "_layout").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("_host").agg(F.max_by("_layout", F.struct("n", "_layout")).alias("_main"))
+    groups = sizes.join(main, "_host").select("_host", "_layout", F.when(F.col("n") >= least, F.col("_layout")).otherwise(F.col("_main")).alias("_group"))
+    member = shapes.join(groups, ["_host", "_layout"])
+    pick = member.groupBy("_host", "_group").agg(F.min(F.struct(F.col("_layout") != F.col("_group"), "h")).alias("x"), F.count("*").alias("_n")).where(F.col("_n") >= least).select("_host", "_group", F.col("x.h").alias("h"))
+    refs = seen.join(pick, ["_host", "h"]).groupBy("_host", "_group").agg(F.min("_page").alias("_ref"))
     refs = written(refs, "references")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, Node] = {}
+        trees: dict[tuple[str, int], Node] = {}
         for b in batches:
             c: Counter = Counter()
-            for host, ref, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if host not in trees:
+            for host, group, ref, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (host, group) not in trees:
                     if len(trees) > 200:
                         trees.clear()
-                    trees[host] = numbered(parse(ref))
-                c[host, -1, ""] += 1
-                for x, y in align(trees[host], parse(text)):
-                    t = _own_text(y)
-                    if t:
-                        c[host, x.at, _hash(t)] += 1
-            rows = list(c.items())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([k[2] for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.int64())], ["_host", "node", "t", "n"])
-
-    counted = seen.dropDuplicates(["_host", "h"]).join(refs, "_host").select("_host", "_ref", "_page").mapInArrow(count, "_host string, node int, t string, n long").groupBy("_host", "node", "t").agg(F.sum("n").alias("n"))
-    counted = counted.groupBy("_host", "node").agg(F.max("n").alias("n"), F.max_by("t", F.struct("n", "t")).alias("t"))
-    total = counted.where("node = -1").select("_host", F.col("n").alias("all"))
-    fixed = counted.where("node >= 0").join(total, "_host").where((F.col("n") >= share * F.col("all")) & (F.col("n") > 1)).groupBy("_host").agg(F.collect_list(F.struct("node", "t")).alias("_fixed"))
-    wrap = written(refs.join(fixed, "_host"), "wrappers")
-    tidy(pages.sparkSession)
-    both = base.join(wrap, "_host", "left")
+                    trees[host, group] = numbered(parse(ref))
+                for x, y in align(trees[host, group], parse(text)):
+                    if y.tag not in RAW and y.tag not in INLINE:
+                        t = _own_text(y)
+                        c[host, group, x.at, _hash(t) if t else ""] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in c], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int32(), pa.string()))] + [pa.array(list(c.values()), pa.int64())], ["_host", "_group", "node", "t", "n"])
+
+    own = seen.dropDuplicates(["_host", "h"]).join(member.select("_host", "h", "_group"), ["_host", "h"]).join(refs, ["_host", "_group"])
+    counted = own.select("_host", "_group", "_ref", "_page").mapInArrow(count, "_host string, _group long, node int, t string, n long").groupBy("_host", "_group", "node", "t").agg(F.sum("n").alias("n"))
+    told = F.col("t") != ""
+    counted = counted.groupBy("_host", "_group", "node").agg(F.sum("n").alias("all"), F.max(F.when(told, F.col("n"))).alias("n"), F.max_by("t", F.when(told, F.struct("n", "t"))).alias("t"))
+    fixed = counted.where((F.col("n") >= share * F.col("all")) & (F.col("n") > 1) & (F.col("all") >= least)).groupBy("_host", "_group").agg(F.collect_list(F.struct("node", "t")).alias("_fixed"))
+    wrap = written(refs.join(fixed, ["_host", "_group"]).join(groups, ["_host", "_group"]).select("_host", "_layout", "_group", "_ref", "_fixed"), "wrappers")
+    tidy(spark)
+    with_layout = base.withColumn("_layout", F.lit(None).cast("long")).schema
+    both = base.mapInArrow(laid(kept.index(page)), with_layout).join(wrap, ["_host", "_layout"], "left")
     at, n = kept.index(page), len(kept)
-    shape = pages.sparkSession.createDataFrame([], pages.select(*kept).schema).withColumn("text", F.lit("")).schema
+    shape = spark.createDataFrame([], pages.select(*kept).schema).withColumn("text", F.lit("")).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, tuple[Node, dict[int, str]]] = {}
+        trees: dict[tuple[str, int], tuple[Node, dict[int, str]]] = {}
         for b in batches:
             out = []
-            hosts = b.column(n).to_pylist()
+            keys = list(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True))
             for i, p in enumerate(b.column(at)):
                 w = None
-                if b.column(n + 2)[i].is_valid:
-                    if hosts[i] not in trees:
+                if b.column(n + 3)[i].is_valid:
+                    if keys[i] not in trees:
                         if len(trees) > 200:
                             trees.clear()
-                        trees[hosts[i]] = (numbered(parse(b.column(n + 1)[i].as_py())), {x["node"]: x["t"] for x in b.column(n + 2)[i].as_py()})
-                    w = trees[hosts[i]]
+                        trees[keys[i]] = (numbered(parse(b.column(n + 2)[i].as_py())), {x["node"]: x["t"] for x in b.column(n + 3)[i].as_py()})
+                    w = trees[keys[i]]
                 out.append(main_text(p.as_py(), w) if p.is_valid else "")
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(out, pa.string())], [*kept, "text"])
 
-    return both.select(*kept, "_host", "_ref", "_fixed").mapInArrow(read, shape)
+    return both.select(*kept, "_host", "_group", "_ref", "_fixed").mapInArrow(read, shape)

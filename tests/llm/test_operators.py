@@ -185,6 +185,15 @@ def test_template_keeps_other_texts(spark):
     assert got[100] == "s\n\ntext 50" and got[145] == "s45\n\ntext 45"
 
 
+def test_two_layouts_of_a_host(spark):
+    one = lambda i: f"<body><div class=content><p>one {i}</p><p>All rights here</p></div>"
+    two = lambda i: f"<body><div class=top>x</div><section class=story><h2>Two {i}</h2><p>two {i}</p><p>Read more with us</p></section>"
+    rare = lambda i: f"<body><main><div class=content><p>rare {i}</p></div></main>"
+    rows = [(i, "http://h/x", one(i) if i < 12 else two(i) if i < 20 else rare(i)) for i in range(22)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "one 3" and got[15] == "Two 15\n\ntwo 15" and got[21] == "rare 21"
+
+
 def test_vectors_brute(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(300, 16))
