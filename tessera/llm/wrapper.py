@@ -304,6 +304,10 @@ def _blocks(regions: list[Node], constant: set[int]) -> list[tuple[str, int, int
     return out
 
 
+#: Hashes of pages, up to which they are sent to every executor: those with copies, and those of the references.
+_FEW = 1_000_000
+
+
 def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -315,7 +319,7 @@ def extract(pages: DataFrame, least: int = 5, share: float = 0.8, url: str = "ur
     page of the smallest hash (of its main layout) is its reference. All pages of the group are aligned to it, and the texts of each of its
     nodes are counted over the pages that differ; where one text has at least `share` of at least `least` such pages that have the node, it is template.
     Then each page is aligned again and read without the template's nodes that have the template's text and without the parts that hold no content.
-    Counting is done per task first, so a host of any size needs no group in memory. A null or empty page has an empty text; a null
+    Each of m copies counts 1 / m; sums are rounded. Counting is done per task first, so a host of any size needs no group in memory. A null or empty page has an empty text; a null
     url is a host of its own. Repeated rows each give a row; an own column `text` is replaced."""
     kept = [c for c in pages.columns if c not in ("text", "_host", "_layout", "_ref", "_fixed")]
 
@@ -330,14 +334,19 @@ def extract(pages: DataFrame, least: int = 5, share: float = 0.8, url: str = "ur
     spark = pages.sparkSession
     base = pages.select(*kept, host_of(F.col(url)).alias("_host"))
     seen = base.where(F.col(page).isNotNull()).select("_host", F.col(page).alias("_page"), F.xxhash64(page).alias("h"))
-    hosts = seen.select("_host", "h").distinct().groupBy("_host").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_host")
-    shapes = seen.join(hosts, "_host", "left_semi").mapInArrow(laid(1), "_host string, _page string, h long, _layout long").select("_host", "h", "_layout").distinct()
+    shapes = seen.mapInArrow(laid(1), "_host string, _page string, h long, _layout long").groupBy("_host", "h", "_layout").agg(F.count("*").alias("m"))
     shapes = written(shapes, "layouts")
+    copies = written(shapes.where("m > 1").select("_host", "h", "m"), "copies")
+    if copies.count() <= _FEW:  # else by shuffle
+        copies = F.broadcast(copies)
     sizes = shapes.groupBy("_host", "_layout").agg(F.count("*").alias("n"))
     main = sizes.groupBy("_host").agg(F.max_by("_layout", F.struct("n", "_layout")).alias("_main"))
     groups = sizes.join(main, "_host").select("_host", "_layout", F.when(F.col("n") >= least, F.col("_layout")).otherwise(F.col("_main")).alias("_group"))
     member = shapes.join(groups, ["_host", "_layout"])
     pick = member.groupBy("_host", "_group").agg(F.min(F.struct(F.col("_layout") != F.col("_group"), "h")).alias("x"), F.count("*").alias("_n")).where(F.col("_n") >= least).select("_host", "_group", F.col("x.h").alias("h"))
+    pick = written(pick, "picked")
+    if pick.count() <= _FEW:
+        pick = F.broadcast(pick)
     refs = seen.join(pick, ["_host", "h"]).groupBy("_host", "_group").agg(F.min("_page").alias("_ref"))
     refs = written(refs, "references")
 
@@ -345,7 +354,7 @@ def extract(pages: DataFrame, least: int = 5, share: float = 0.8, url: str = "ur
         trees: dict[tuple[str, int], Node] = {}
         for b in batches:
             c: Counter = Counter()
-            for host, group, ref, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for host, group, ref, text, m in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (host, group) not in trees:
                     if len(trees) > 200:
                         trees.clear()
@@ -353,11 +362,12 @@ def extract(pages: DataFrame, least: int = 5, share: float = 0.8, url: str = "ur
                 for x, y in align(trees[host, group], parse(text)):
                     if y.tag not in RAW and y.tag not in INLINE:
                         t = _own_text(y)
-                        c[host, group, x.at, _hash(t) if t else ""] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in c], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int32(), pa.string()))] + [pa.array(list(c.values()), pa.int64())], ["_host", "_group", "node", "t", "n"])
+                        c[host, group, x.at, _hash(t) if t else ""] += 1 / m
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in c], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int32(), pa.string()))] + [pa.array(list(c.values()), pa.float64())], ["_host", "_group", "node", "t", "n"])
 
-    own = seen.dropDuplicates(["_host", "h"]).join(member.select("_host", "h", "_group"), ["_host", "h"]).join(refs, ["_host", "_group"])
-    counted = own.select("_host", "_group", "_ref", "_page").mapInArrow(count, "_host string, _group long, node int, t string, n long").groupBy("_host", "_group", "node", "t").agg(F.sum("n").alias("n"))
+    own = seen.join(copies, ["_host", "h"], "left").select("_host", "_page", F.coalesce("m", F.lit(1)).alias("m")).mapInArrow(laid(1), "_host string, _page string, m long, _layout long")
+    own = own.join(refs.join(groups, ["_host", "_group"]), ["_host", "_layout"]).select("_host", "_group", "_ref", "_page", "m")
+    counted = own.mapInArrow(count, "_host string, _group long, node int, t string, n double").groupBy("_host", "_group", "node", "t").agg(F.round(F.sum("n")).cast("long").alias("n"))
     told = F.col("t") != ""
     counted = counted.groupBy("_host", "_group", "node").agg(F.sum("n").alias("all"), F.max(F.when(told, F.col("n"))).alias("n"), F.max_by("t", F.when(told, F.struct("n", "t"))).alias("t"))
     fixed = counted.where((F.col("n") >= share * F.col("all")) & (F.col("n") > 1) & (F.col("all") >= least)).groupBy("_host", "_group").agg(F.collect_list(F.struct("node", "t")).alias("_fixed"))
