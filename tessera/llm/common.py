@@ -1,15 +1,14 @@
 """Shared parts: folders that all executors see, Arrow text buffers, vectorised words and shingles, components."""
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that numpy works on at once, in bytes (a longer document is a piece of its own).
@@ -23,47 +22,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one, which is set."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a temporary one, but on a local master only: elsewhere it is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tessera_dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = spark._tessera_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return d.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _delete() -> None:
     for spark, path in _made:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
         except Exception:  # noqa: BLE001  the session is over
             return
 
 
 atexit.register(_delete)
+#: Spark's own switch: an execution's shuffle files go when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of executions inside are deleted at the end of each, as what they were for is a written table by then."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
 
 
 def written(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, outlives executors, and is read by column."""
+    """df as a Parquet table in the shared folder: cuts lineage, outlives executors, and is read by column. Its shuffle files are deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
-    (w.partitionBy(*by) if by else w).parquet(path)
+    with shuffles_go(spark):
+        (w.partitionBy(*by) if by else w).parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing holds any more, as it does after each collection of the driver's garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of written() tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t._tessera_path)
+        _made[:] = [(s, p) for s, p in _made if p != t._tessera_path]
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a written() table that nothing reads any more."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def boxed(df: DataFrame, results: tuple[str, ...], **columns: Column) -> DataFrame:
+    """`row`, a struct of all columns of df but for those called, whatever the case, as one of the results; and the columns given. So
+    columns of any name, dots included, pass through an operator beside its own and clash with none of them."""
+    gone = {r.lower() for r in results}
+    kept = [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns if c.lower() not in gone]
+    return df.select(F.struct(*kept).alias("row"), *(c.alias(n) for n, c in columns.items()))
 
 
 # -- text buffers
@@ -94,8 +116,11 @@ def _random(n: int, seed: int) -> np.ndarray:
 _FACTOR = int(_random(1, 11)[0]) | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _BYTES = _random(256, 12)
-_LOWER = _BYTES.copy()
-_LOWER[65:91] = _LOWER[97:123]
+#: A random number for each byte at each of a word's first places; A-Z count as a-z.
+_PLACES = 64
+_AT = _random(_PLACES * 256, 13).reshape(_PLACES, 256)
+_AT[:, 65:91] = _AT[:, 97:123]
+_AT = _AT.ravel()
 _powers = {True: np.ones(1, _U), False: np.ones(1, _U)}
 
 
@@ -116,10 +141,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def sums(data: np.ndarray, lut: np.ndarray = _BYTES) -> np.ndarray:
+def sums(data: np.ndarray) -> np.ndarray:
     """Prefix sums for span_hash()."""
     out = np.zeros(len(data) + 1, _U)
-    np.cumsum(lut[data] * powers(len(data)), out=out[1:])
+    np.cumsum(_BYTES[data] * powers(len(data)), out=out[1:])
     return out
 
 
@@ -128,6 +153,27 @@ def span_hash(pre: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix((pre[e] - pre[s]) * powers(len(pre), True)[s] + (e - s).astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
+def word_hash(data: np.ndarray, inside: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hashes of lower-cased words; data: bytes, inside: which of them belong to words, n: the words' lengths in turn.
+
+    The sum of a random number for each pair of place and byte: no polynomial, so texts made to collide in one for any base are told apart."""
+    b = data[inside]
+    start = np.cumsum(n) - n
+    step = np.ones(len(b), np.int32)
+    if len(n):
+        step[0] = 0
+        step[start[1:]] = 1 - n[:-1]
+    place = np.cumsum(step, dtype=np.int32)
+    long = len(n) and int(n.max()) > _PLACES
+    x = _AT[(np.minimum(place, np.int32(_PLACES - 1)) if long else place) << 8 | b]
+    if long:
+        far = place >= _PLACES
+        c = b[far].astype(np.int64)
+        c = np.where((c >= 65) & (c < 91), c + 32, c)
+        x[far] = mix(mix((place[far].astype(np.int64) << 8 | c).astype(_U) ^ _U(_FACTOR)))
+    return mix(np.add.reduceat(x, start) + n.astype(_U) * _U(0x9E3779B97F4A7C15)) if len(n) else np.zeros(0, _U)
+
+
 def byte_class(pattern: str) -> np.ndarray:
     """Which of the 256 bytes belong to words, for classes that hold all of UTF-8's bytes from 0x80."""
     out = np.ones(256, bool)
@@ -157,7 +203,7 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray = SPACED) -> tupl
     first[cut] = w[cut]
     last[cut - 1] = w[cut - 1]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return s, e, span_hash(sums(data, _LOWER), s, e), np.searchsorted(s, off)
+    return s, e, word_hash(data, w, e - s), np.searchsorted(s, off)
 
 
 def shingles(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +249,6 @@ def signed(x: np.ndarray) -> np.ndarray:
 def components(links: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node in links reaches. Alternating large and small stars; each round is a
     written table, and only a count comes to the driver. Loops, repeated links and nulls do no harm."""
-    spark = links.sparkSession
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = written(e, "links")
     before = None
@@ -213,8 +258,10 @@ def components(links: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = written(small, "stars")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        done, e = e, written(small, "stars")
+        drop(done)
+        with shuffles_go(e.sparkSession):
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, mix, pieces, signed, span_hash, sums, tidy, written
+from .common import PIECE, boxed, drop, mix, pieces, signed, span_hash, sums, written
 
 _U = np.uint64
 GRAM, STEP = 24, 8
@@ -180,13 +180,10 @@ def repeats(docs: DataFrame, size: int = 100) -> DataFrame:
     """(doc_id, first, last): windows of `size` bytes, from first to last, that also start earlier; docs: (doc_id, text)."""
     spark = docs.sparkSession
     one = written(_sorted_pass(_first_pass(docs, size)), "digit1")
-    tidy(spark)
     content = written(_content(docs, one.where("kind = 2"), size).withColumn("base", F.col("first")), "content")
-    tidy(spark)
     two = written(_sorted_pass(_digits(content, size, STEP)), "digit2")
     left = two.where("kind = 2").select("doc_id", "place", "d", "first", "last").join(content.select("doc_id", "place", "base", "b").dropDuplicates(["doc_id", "place"]), ["doc_id", "place"])
     three = written(_sorted_pass(_digits(left, size, 1)), "digit3")
-    tidy(spark)
     return one.union(two).union(three).where("kind = 1").select("doc_id", "first", "last")
 
 
