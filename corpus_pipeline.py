@@ -1,12 +1,13 @@
 """A corpus pipeline of five operators; each stage works on all that the one before has kept."""
 
+import secrets
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mix, neardup, pii, toxicity
-from tessera.llm.common import shared_dir, table, written
+from tessera.llm.common import remove, shared_dir, shuffles_go, table, written
 
 #: A document is rejected from this score on.
 TOXIC = 0.7
@@ -31,8 +32,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Values get pseudonyms under the key of the setting spark.tessera.piiKey, or a public one where that is unset."""
-    key = spark.conf.get("spark.tessera.piiKey", "tessera-demo-key")
+    """Values get pseudonyms under the secret key of the setting spark.tessera.piiKey; null and empty texts stay, repeated rows each get the same.
+
+    Without the setting a key is drawn for this run and forgotten: nobody can undo its pseudonyms, and those of another run differ."""
+    key = spark.conf.get("spark.tessera.piiKey", None) or secrets.token_hex(32)
     return pii.pseudonymise(docs, key.encode(), spans=None)
 
 
@@ -51,6 +54,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage, from the documents table; each stage is written in the shared folder and read again."""
     docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/tessera/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
+        out = stage(spark, docs, sf_dir)
+        with shuffles_go(spark):
+            out.write.parquet(f"{base}/{i}-{name}")
         docs = spark.read.parquet(f"{base}/{i}-{name}")
+        if i:  # nothing reads what the stage before has written any more
+            remove(spark, f"{base}/{i - 1}-{STAGES[i - 1][0]}")
     return docs

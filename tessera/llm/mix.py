@@ -4,6 +4,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import boxed, written
+
 #: Equal parts that a length's documents are dealt into by hash; only one part of each length is ever ordered.
 PARTS = 256
 #: The plan, a row for each source and length, is broadcast up to so many rows and so many bytes of source names; a larger one is joined by a shuffle.
@@ -17,18 +19,15 @@ def word_count(text: Column | str) -> Column:
 
 def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
     """Shares of sum(sizes) by weight; a share stops at `most` times its size, and the excess is shared again until none is above."""
-    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
-    while free:
-        total = sum(weights[i] for i in free)
-        over = [i for i in sorted(free) if left * weights[i] / total > most * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / total
+    out, left, total = [0.0] * len(sizes), float(sum(sizes)), float(sum(weights))
+    order = sorted(range(len(sizes)), key=lambda i: (most * sizes[i] / weights[i], i))  # those that stop come first
+    for n, i in enumerate(order):
+        if left * weights[i] / total <= most * sizes[i]:
+            for j in order[n:]:
+                out[j] = left * weights[j] / total
             break
-        for i in over:
-            out[i] = float(most * sizes[i])
-            free.discard(i)
-        left = max(0.0, left - sum(out[i] for i in over))
+        out[i] = float(most * sizes[i])
+        left, total = max(0.0, left - out[i]), total - weights[i]
     return out
 
 
@@ -81,15 +80,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     Sources by code point, null last, have the weights in turn. A source whose target is at least its size is taken whole
     that many times; the rest of each target is fitted by knapsack() over the source's histogram of lengths, and documents
     of a length are chosen by a seeded hash. Texts without words have size 0 and are taken 0 words. Repeated rows
-    count each; which of rows that agree in doc_id and length comes first is settled by nothing else, so a boundary may fall
-    between them either way. Empty tables give empty results. Own columns with the names of the new ones are replaced."""
-    spark = docs.sparkSession
-    new = ("size", "source_size", "target", "taken", "_repeats", "_hash", "_part", "_src", "_full", "_edge", "_need", "_add", "_base", "_upto", "_cut")
-    kept = [c for c in docs.columns if c not in new]
-    rows = docs.select(*kept, word_count("text").alias("size"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)).alias("_hash"), F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("_src")).withColumn("_part", F.pmod("_hash", F.lit(PARTS)).cast("int"))
+    count each; those that agree in doc_id and length are ordered by a hash of their texts, and only equal ones are left to chance. Empty
+    tables give empty results. Own columns called as a new one, whatever the case, are replaced; other names may be any."""
+    rows = boxed(docs, ("size", "source_size", "target", "taken", "_repeats"), doc_id=F.col("doc_id"), _text=F.xxhash64("text"), size=word_count("text"), _hash=F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), _src=F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce(F.col("source").cast("string"), F.lit("")))).withColumn("_part", F.pmod("_hash", F.lit(PARTS)).cast("int"))
     hist = rows.groupBy("_src", "size", "_part").agg(F.count("*").alias("n"))
-    from .common import written
-
     hist = written(hist, "lengths")
     by_source = hist.groupBy("_src").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
 
@@ -117,7 +111,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     parts = hist.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(plan, ["_src", "size"])
     # a part is taken whole, not at all, or (one part of each length) up to a rank
     parts = written(parts.select("_src", "size", "_part", "source_size", "target", "_base", F.greatest(F.lit(0), F.least("n", F.col("_need") - F.col("before"))).alias("_need"), ((F.col("_need") > F.col("before")) & (F.col("_need") < F.col("before") + F.col("n"))).alias("_edge")), "plan")
-    rank = Window.partitionBy("_src", "size", "_part").orderBy("_hash", "doc_id")
+    rank = Window.partitionBy("_src", "size", "_part").orderBy("_hash", "doc_id", "_text")
     whole = F.when(~F.col("_edge") & (F.col("_need") > 0), F.col("_part"))
     short = parts.groupBy("_src", "size").agg(*(F.max(c).alias(c) for c in ("source_size", "target", "_base")), F.coalesce(F.max(whole), F.lit(-1)).alias("_upto"), F.max(F.when(F.col("_edge"), F.col("_part"))).alias("_cut"), F.max(F.when(F.col("_edge"), F.col("_need"))).alias("_need"))
     short = written(short, "cuts")
@@ -131,4 +125,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     else:
         # join and ranks share one shuffle of the rows
         both = rows.join(parts, ["_src", "size", "_part"]).withColumn("_add", F.when(F.row_number().over(rank) <= F.col("_need"), 1).otherwise(0))
-    return both.select(*kept, "size", "source_size", "target", (F.col("size") * (F.col("_base") + F.col("_add"))).cast("long").alias("taken"), (F.col("_base") + F.col("_add")).cast("int").alias("_repeats"))
+    return both.select("row.*", "size", "source_size", "target", (F.col("size") * (F.col("_base") + F.col("_add"))).cast("long").alias("taken"), (F.col("_base") + F.col("_add")).cast("int").alias("_repeats"))

@@ -18,10 +18,6 @@ _U = np.uint64
 #: 0.42, so all CHUNKS have with 1e-6: that is the share of such pairs outside the guarantee that is also missed.
 CHUNKS, WIDTH = 16, 7
 _N = CHUNKS * WIDTH
-#: Pairs across components are read in full if the lowest four bits of all symbols differ in at most FAR places (at the least
-#: similarity 45 of 448 are expected, with a deviation of 10; more than FAR come about once in 1e5 such pairs).
-FAR = 90
-BITS = [f"b{i}" for i in range(_N * 4 // 64)]
 #: A full set's parity bits: each shingle flips one of them, so two sets' bits differ in no more places than the sets in shingles. Pairs
 #: whose bits differ in more places than a link allows are never links; sets of many more shingles than bits pass without being told apart.
 PARITY = 1024
@@ -49,8 +45,7 @@ def keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, b0 to b6, sig) of each row; the b hold the symbols' lowest four bits; h1 and h2 are null where the
-    set is empty."""
+    """(doc_id, n_shingles, h1, h2, sig) of each row; h1 and h2 are null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,13 +56,11 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 sig = np.zeros((j - i, _N), np.uint16)
                 if len(g):
                     sig[n > 0] = signatures(g, to)
-                nibbles = (sig & 15).astype(np.uint8)
-                bits = (nibbles[:, ::2] | nibbles[:, 1::2] << 4).view(np.int64)
                 flat = pa.Array.from_buffers(pa.binary(2 * _N), j - i, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
                 h = [pa.array(signed(set_hash(g, to, s)), mask=n == 0) for s in (1, 2)]
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(n), *h, *(pa.array(bits[:, x].copy()) for x in range(len(BITS))), flat], ["doc_id", "n_shingles", "h1", "h2", *BITS, "sig"])
+                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(n), *h, flat], ["doc_id", "n_shingles", "h1", "h2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, n_shingles long, h1 long, h2 long, {', '.join(f'{x} long' for x in BITS)}, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -149,7 +142,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links are united. Empty tables give empty results."""
     docs = docs.select("doc_id", "text")
     sk = written(sketch(docs, shingle), "sketch")
-    classes = sk.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in ("n_shingles", *BITS, "sig")))
+    classes = sk.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in ("n_shingles", "sig")))
     classes = written(classes, "classes")
     cand = written(buckets(classes.where("id is not null")), "buckets")
     pairs = written(cand.where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
@@ -160,15 +153,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     told = ids.join(comp, ids.id == comp.node, "left").select("id", F.coalesce("component", "id").alias("c"))
     member = written(cand.select("key", "id").join(told, "id"), "members")
     mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = member.join(mixed, "key", "left_semi").join(classes.select("id", *BITS), "id").join(sets.drop("s"), "id")
-    x, y = (left.select("key", *(F.col(c).alias(c + s) for c in ("id", "c", "n", *BITS, *ODD))) for s in ("x", "y"))
-    far, odd = (reduce(add, (F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in bits)) for bits in (BITS, ODD))
-    alike = (F.col("cx") < F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (far <= FAR) & ((100 + percent) * odd <= (100 - percent) * (F.col("nx") + F.col("ny")))
+    left = member.join(mixed, "key", "left_semi").join(sets.drop("s"), "id")
+    x, y = (left.select("key", *(F.col(c).alias(c + s) for c in ("id", "c", "n", *ODD))) for s in ("x", "y"))
+    odd = reduce(add, (F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in ODD))
+    alike = (F.col("cx") < F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((100 + percent) * odd <= (100 - percent) * (F.col("nx") + F.col("ny")))
     across = x.join(y, (x.key == y.key) & alike).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
     across = across.join(pairs, ["a", "b"], "left_anti")
     more = written(confirmed(across, sets, percent), "across")
     if not more.isEmpty():
         comp = written(components(links.union(more), "a", "b"), "components")
-    drop(sets)
+    drop(sets, cand, pairs, member)
     of = sk.select("doc_id", "n_shingles", "h1", "h2").join(classes.select("h1", "h2", "id").join(comp, F.col("id") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "id").alias("c")), ["h1", "h2"], "left")
     return of.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), (F.coalesce("c", "doc_id") == F.col("doc_id")).alias("kept"))

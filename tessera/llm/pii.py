@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import boxed
+
 ROUNDS = 10
 
 
@@ -88,7 +90,8 @@ class Pseudonyms:
 
     Equal values (whatever their separators) get equal pseudonyms of the same kind, and no value of a kind is shared by two.
     Cards keep length, first digit and a valid check digit; IBANs country, letters' places and valid check digits; phone
-    numbers the country code; IPv4 addresses are permuted within 2**32; dates within 1900 to 2099 in their own notation;
+    numbers the country code; IPv4 addresses are permuted within 2**32; dates within 1900 to 2099, in their own notation (month first with a day
+    that would be read as a month gets the year first, on the way back too: the day is told, not how it was written);
     SSNs within the valid numbers; e-mail local parts letter for letter and digit for digit, with the domain kept."""
 
     def __init__(self, key: bytes) -> None:
@@ -124,8 +127,8 @@ class Pseudonyms:
         d = re.sub(r"\D", "", s)
         if not 7 <= len(d) <= 15:
             return None
-        code = re.match(r"\+(\d{1,3})(?=\D)", s)
-        keep = len(code[1]) if code else 1 if s[0] == "+" else 0
+        code = s[0] == "+" or (len(d) == 11 and d[0] == "1")
+        keep = (1 if d[0] in "17" else 2 if d[:2] in _TWO else 3) if code else 0
         n = d[keep:]
         if len(n) == 10 and (d[:keep] in ("", "1")):  # exchange numbers start with 2 to 9
             if n[0] in "01" or n[3] in "01":  # no valid number: stays among those, and without a country code is none at all
@@ -174,12 +177,8 @@ class Pseudonyms:
             return None
         c = self.cipher("date", _DAYS)
         t = _DAY0 + timedelta((c.decrypt if back else c.encrypt)(x))
-        if not first and not back and t.day <= 12 and swap:  # month first stays readable as such: day above 12
-            while t.day <= 12:
-                t = _DAY0 + timedelta(c.encrypt((t - _DAY0).days))
-        elif not first and back and swap:
-            while t.day <= 12:
-                t = _DAY0 + timedelta(c.decrypt((t - _DAY0).days))
+        if swap and t.day <= 12:  # month first would be read as day first: the year comes first instead
+            first, p = True, [p[2], p[0], p[1]]
         wide = len(p[0] if first else p[2]), all(len(x) == 2 for x in (p[1:] if first else p[:2]))
         m, d = (f"{t.month:02d}", f"{t.day:02d}") if wide[1] else (str(t.month), str(t.day))
         out = [f"{t.year:04d}", m, d] if first else [m, d, f"{t.year:04d}"] if swap else [d, m, f"{t.year:04d}"]
@@ -234,6 +233,8 @@ class Pseudonyms:
         return "".join([*out, t[last:]]) if found else t, found
 
 
+#: Calling codes of two digits; 1 and 7 have one, all others three.
+_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 SPANS = "array<struct<kind:string,start:long,pseudonym:string>>"
 
 
@@ -242,23 +243,22 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str | N
 
     The places are code points of the old text. Null and empty texts stay as they are; all rows and columns stay; a column
     named as `spans` is replaced. Each row stands alone, so nothing is shuffled and lost tasks are simply run again."""
-    kept = [c for c in docs.columns if c != spans]
-    docs, i = docs.select(*kept), kept.index(text)
-    shape = docs.schema
-    if spans:
-        shape = docs.sparkSession.createDataFrame([], docs.schema).withColumn(spans, F.lit(None).cast(SPANS)).schema
+    rows = boxed(docs, (spans,) if spans else (), _text=F.col(text))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("pseudonym", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pseudonyms(key)
         for b in batches:
-            new, rows = [], []
-            for v in b.column(i):
+            new, found = [], []
+            for v in b.column(1):
                 t = v.as_py()
-                out, found = p.text(t) if t else (t, [])
+                out, seen = p.text(t) if t else (t, [])
                 new.append(out)
-                rows.append([{"kind": k, "start": at, "pseudonym": s} for k, _, s, at in found])
-            b = b.set_column(i, b.schema.field(i), pa.array(new, b.schema.field(i).type))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], [*b.schema.names, spans]) if spans else b
-
-    return docs.mapInArrow(run, shape)
+                found.append([{"kind": k, "start": at, "pseudonym": s} for k, _, s, at in seen])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string()), pa.array(found, kind)], ["row", "new", "found"])
+
+    shape = rows.select("row", F.lit(None).cast("string").alias("new"), F.lit(None).cast(SPANS).alias("found")).schema
+    done = rows.mapInArrow(run, shape)
+    named = [c for c in rows.schema["row"].dataType.names]
+    cols = [F.col("new").alias(c) if c.lower() == text.lower() else F.col("row")[c].alias(c) for c in named]
+    return done.select(*cols, *([F.col("found").alias(spans)] if spans else []))

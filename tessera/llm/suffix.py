@@ -178,12 +178,12 @@ def _digits(rows: DataFrame, size: int, step: int) -> DataFrame:
 
 def repeats(docs: DataFrame, size: int = 100) -> DataFrame:
     """(doc_id, first, last): windows of `size` bytes, from first to last, that also start earlier; docs: (doc_id, text)."""
-    spark = docs.sparkSession
     one = written(_sorted_pass(_first_pass(docs, size)), "digit1")
     content = written(_content(docs, one.where("kind = 2"), size).withColumn("base", F.col("first")), "content")
     two = written(_sorted_pass(_digits(content, size, STEP)), "digit2")
     left = two.where("kind = 2").select("doc_id", "place", "d", "first", "last").join(content.select("doc_id", "place", "base", "b").dropDuplicates(["doc_id", "place"]), ["doc_id", "place"])
     three = written(_sorted_pass(_digits(left, size, 1)), "digit3")
+    drop(content)
     return one.union(two).union(three).where("kind = 1").select("doc_id", "first", "last")
 
 
@@ -196,16 +196,15 @@ def dedup_substrings(docs: DataFrame, size: int = 100) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = repeats(base.where(F.octet_length("text") >= size), size)
     per = found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("found")).withColumnRenamed("doc_id", "_id")
-    kept = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "found", "_id")]
-    both = docs.select(*kept).join(per, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
-    at = kept.index("text")
-    shape = docs.sparkSession.createDataFrame([], docs.select(*kept).schema).select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("array<struct<first:long,after:long>>").alias("spans"), F.lit(None).cast("binary").alias("kept")).schema
+    rows = boxed(docs, ("n_bytes", "spans", "kept"), text=F.col("text"), id=F.col("doc_id").cast("long"))
+    both = rows.join(per, F.col("id") == F.col("_id"), "left").select("row", "text", "found")
+    shape = rows.select("row", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("array<struct<first:long,after:long>>").alias("spans"), F.lit(None).cast("binary").alias("kept")).schema
     span = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, spans, rest = [], [], []
-            for t, runs_ in zip(b.column(at), b.column(len(kept)), strict=True):
+            for t, runs_ in zip(b.column(1), b.column(2), strict=True):
                 raw = (t.as_py() or "").encode()
                 out, cur, last = [], [], 0
                 if runs_.is_valid:
@@ -224,6 +223,6 @@ def dedup_substrings(docs: DataFrame, size: int = 100) -> DataFrame:
                 n.append(len(raw))
                 spans.append(cur)
                 rest.append(b"".join([*out, raw[last:]]) if cur else raw)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(rest, pa.binary())], [*kept, "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(rest, pa.binary())], ["row", "n_bytes", "spans", "kept"])
 
-    return both.select(*kept, "found").mapInArrow(run, shape)
+    return both.mapInArrow(run, shape).select("row.*", "n_bytes", "spans", "kept")

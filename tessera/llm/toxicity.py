@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import boxed
+
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ӏ": "l", "ԛ": "q", "ԝ": "w", "ѵ": "v",
@@ -215,12 +217,11 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = 20_000, held_out:
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", into: str = "toxicity") -> DataFrame:
     """docs with the score (0 to 1) of each whole text; null and empty texts score as texts without terms. Other columns stay."""
     lex = docs.sparkSession.sparkContext.broadcast(lexicon)
-    kept = [c for c in docs.columns if c != into]
-    docs, at = docs.select(*kept), kept.index(text)
-    shape = docs.sparkSession.createDataFrame([], docs.schema).withColumn(into, F.lit(0.0)).schema
+    rows = boxed(docs, (into,), text=F.col(text))
+    shape = rows.select("row", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([lex.value.score(t.as_py()) for t in b.column(at)], pa.float64())], [*b.schema.names, into])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([lex.value.score(t.as_py()) for t in b.column(1)], pa.float64())], ["row", "score"])
 
-    return docs.mapInArrow(run, shape)
+    return rows.mapInArrow(run, shape).select("row.*", F.col("score").alias(into))

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import boxed
+
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -75,20 +77,18 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", d
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
     trie = df.sparkSession.sparkContext.broadcast(Trie(rules))
-    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "_url")]
-    shown = df.select(*kept, F.col(f"`{url}`").alias("_url"))
-    out = df.sparkSession.createDataFrame([], shown.select(*kept).schema).schema
+    results = ("host", "path", "rule", "verdict")
+    shown = boxed(df, results, url=F.col("`" + url.replace("`", "``") + "`"))
+    shape = shown.select("row", *(F.lit(None).cast("string").alias(r) for r in results)).schema
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[], [], [], []]
-            for u in b.column("_url").to_pylist():
+            for u in b.column(1).to_pylist():
                 host, path = split_url(u)
                 found = trie.value.match(host, path)
                 for c, v in zip(cols, (host, path, *(found or (None, default))), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + [pa.array(c, pa.string()) for c in cols], [*kept, "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in cols)], ["row", *results])
 
-    for name in ("host", "path", "rule", "verdict"):
-        out = out.add(name, "string")
-    return shown.mapInArrow(judge, out)
+    return shown.mapInArrow(judge, shape).select("row.*", *results)
