@@ -18,13 +18,53 @@ def relative_delta(old: Column, new: Column) -> Column:
 def satisfies(value: Column, operator: Column, bound: Column) -> Column:
     """Three-valued: null where the values are missing or the operator unknown."""
     eq = F.abs(value - bound) < 1e-9
-    return F.when(operator == "LT", value < bound).when(operator == "LTE", value <= bound).when(operator == "GT", value > bound).when(operator == "GTE", value >= bound).when(operator == "EQ", eq)
+    out = F.when(operator == "LT", value < bound).when(operator == "LTE", value <= bound).when(operator == "GT", value > bound).when(operator == "GTE", value >= bound).when(operator == "EQ", eq)
+    return out.when(operator == "NEQ", ~eq)
+
+
+def value_satisfies(value: Column, operator: Column, bound: Column) -> Column:
+    """satisfies() on parsed values: null across unit families; of booleans, EQ, LTE and GTE mean equal, all others different."""
+    same = value["boolean"] == bound["boolean"]
+    numbers = F.when(same_family(value["unit"], bound["unit"]), satisfies(value["number"], operator, bound["number"]))
+    return F.when(same.isNotNull() & operator.isNotNull(), F.when(operator.isin("EQ", "LTE", "GTE"), same).otherwise(~same)).otherwise(numbers)
 
 
 def values_conflict(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     return F.abs(relative_delta(a, b)) > tolerance
 
 
+def any_conflict(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
+    """values_conflict() on parsed values: numbers of one family beyond the tolerance, booleans that differ, else texts, trimmed and in lower case."""
+    numeric = a["number"].isNotNull() & b["number"].isNotNull()
+    words = lambda v: F.lower(F.trim(F.coalesce(v["text"], v["raw"])))
+    return F.when(numeric & same_family(a["unit"], b["unit"]), F.coalesce(values_conflict(a["number"], b["number"], tolerance), F.lit(False))).when(
+        a["boolean"].isNotNull() & b["boolean"].isNotNull(), a["boolean"] != b["boolean"]).otherwise(words(a) != words(b))
+
+
+def change(old: Column, new: Column, tolerance: float = TOLERANCE) -> Column:
+    """struct(kind, delta, magnitude, material) of a belief's parsed value against the one before (null: it is new)."""
+    delta = relative_delta(old["number"], new["number"])
+    numeric = old["number"].isNotNull() & new["number"].isNotNull()
+    flip = old["boolean"].isNotNull() & new["boolean"].isNotNull()
+    same_text = F.lower(F.trim(F.coalesce(old["text"], old["raw"]))) == F.lower(F.trim(F.coalesce(new["text"], new["raw"])))
+    moved = F.coalesce(F.abs(delta) > tolerance, F.lit(False))
+    kind = F.when(old.isNull(), "NEW").when(numeric & ~same_family(old["unit"], new["unit"]), "UNIT_CHANGED").when(numeric, F.when(~moved, "UNCHANGED").when(delta > 0, "INCREASED").otherwise("DECREASED")).when(
+        flip, F.when(old["boolean"] != new["boolean"], "FLIPPED").otherwise("UNCHANGED")).when(same_text, "UNCHANGED").otherwise("TEXT_REFINED")
+    size = F.when(kind == "NEW", 0.6).when(kind == "UNIT_CHANGED", 0.8).when(kind == "FLIPPED", 1.0).when(kind == "UNCHANGED", 0.0).when(kind == "TEXT_REFINED", 0.5).otherwise(magnitude(delta))
+    return F.struct(kind.alias("kind"), F.when(kind.isin("INCREASED", "DECREASED"), F.round(delta, 4)).alias("delta"), F.round(size, 4).alias("magnitude"), ~kind.isin("UNCHANGED", "TEXT_REFINED").alias("material"))
+
+
+def specificity(value: Column, bounded: Column, triple: Column) -> Column:
+    part = lambda ok, w: F.when(ok, w).otherwise(0.0)
+    return F.least(part(value.isNotNull(), 0.35) + part(value["number"].isNotNull(), 0.25) + part(value["unit"].isNotNull(), 0.15) + part(bounded, 0.15) + part(triple, 0.10), F.lit(1.0))
+
+
+def temporal_validity(valid_from: Column, valid_until: Column, now: Column) -> Column:
+    """0 outside the interval, 1 within a closed one, 0.9 with a start only, else 0.6."""
+    out = (valid_from > now) | (valid_until < now)
+    return F.when(F.coalesce(out, valid_until < now, valid_from > now, F.lit(False)), 0.0).when(valid_from.isNotNull() & valid_until.isNotNull(), 1.0).when(valid_from.isNotNull(), 0.9).otherwise(0.6)
+
+
 def magnitude(delta: Column) -> Column:
     """Saturating size of a change, a / (a + 0.35)."""
     a = F.abs(delta)

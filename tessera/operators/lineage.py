@@ -29,9 +29,10 @@ def decision_audit(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def supersessions(beliefs: DataFrame) -> DataFrame:
-    """SUPERSEDES edges from each live value of a property to the one before it (by time, then id)."""
-    w = Window.partitionBy("subject", "predicate").orderBy("valid_from", "id")
-    b = beliefs.where(~F.col("status").isin(*DEAD)).withColumn("target", F.lag("id").over(w)).where("target is not null")
+    """SUPERSEDES edges from each live value of a property to the one before it: the latest that starts strictly earlier, of equals the larger id."""
+    t = F.unix_micros(F.col("valid_from").cast("timestamp"))
+    w = Window.partitionBy("subject", "predicate").orderBy(t).rangeBetween(Window.unboundedPreceding, -1)
+    b = beliefs.where(~F.col("status").isin(*DEAD)).withColumn("target", F.max(F.struct("valid_from", "id")).over(w)["id"]).where("target is not null")
     return b.select(F.col("id").alias("source"), "target", F.lit("SUPERSEDES").alias("type"), F.lit(0.95).alias("weight"), F.greatest("confidence", F.lit(0.6)).alias("confidence"))
 
 
@@ -77,9 +78,41 @@ def label_match(nodes: DataFrame, needles: list[str]) -> DataFrame:
     return found.groupBy("needle").agg(F.min_by("id", F.struct(F.length("label"), F.col("id"))).alias("id"))
 
 
+#: Functions that a reading statement may call.
+READING = frozenset(
+    "abs array array_contains array_distinct array_join array_sort avg ceil coalesce collect_list collect_set concat concat_ws contains count count_if date_trunc datediff dense_rank element_at exp explode "
+    "first floor greatest if ifnull lag last lead least left length ln log lower lpad max max_by mean median min min_by mode nullif percentile percent_rank posexplode power rank regexp_count regexp_extract regexp_like regexp_replace "
+    "replace right round row_number rpad sha1 size sort_array split sqrt startswith endswith stddev struct substr substring sum to_date to_timestamp transform filter trim upper variance year month day hour cast try_cast "
+    "and or not in exists over as on when then else case select from where having by values with using between like rlike is distinct all any union except intersect join lateral interval partition rows range".split()
+)
+
+
+def _check(plan) -> None:
+    """Refuses analysed plans that read anything but temporary views."""
+    if plan.nodeName() == "View":
+        if not plan.isTempView():
+            raise ValueError("only temporary views can be read")
+        return
+    children = plan.children()
+    if not children.size() and plan.nodeName() not in ("OneRowRelation", "LocalRelation", "CTERelationRef", "Range"):
+        raise ValueError(f"only temporary views can be read, not {plan.nodeName()}")
+    for part in (children, plan.subqueries()):
+        for i in range(part.size()):
+            _check(part.apply(i))
+
+
 def read_only(spark: SparkSession, sql: str) -> DataFrame:
-    """The rows of one SELECT or WITH statement over the session's views; anything else is a ValueError."""
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'", " ", sql, flags=re.S).strip().lower()
-    if not re.match(r"(select|with)\b", bare) or ";" in bare or re.search(r"\b(insert|update|delete|merge|drop|create|alter|truncate|set|cache|refresh)\b", bare):
+    """The rows of one SELECT or WITH statement over the session's temporary views; anything else is a ValueError.
+
+    It may call the functions of READING only, which neither run code nor open files, and its analysed plan may read nothing but temporary views."""
+    bare = re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", " '' ", sql, flags=re.S).strip().lower()
+    words = re.sub(r"`[^`]*`", " x ", bare)
+    if not re.match(r"(select|with)\b", bare) or ";" in words or re.search(r"\b(insert|update|delete|merge|drop|create|alter|truncate|set|cache|refresh|transform\s+\(|reduce\s+using)\b", words):
         raise ValueError("only a single reading statement is allowed")
-    return spark.sql(sql)
+    called = {n.strip("`") for n in re.findall(r"(`[^`]*`|[a-z_][a-z0-9_.]*)\s*\(", bare)}
+    named = set(re.findall(r"\b([a-z_][a-z0-9_]*)\s*(?:\([^()]*\)\s*)?as\s*\(", words))  # a common table
+    if other := called - READING - named:
+        raise ValueError(f"not allowed: {', '.join(sorted(other))}")
+    df = spark.sql(sql)
+    _check(df._jdf.queryExecution().analyzed())
+    return df

@@ -24,23 +24,31 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("path", "seen_at", parts.alias("n", "chunk")).where("trim(chunk) <> ''").withColumn("fp", fingerprint(F.col("chunk")))
 
 
-def reconcile(batch: DataFrame, table: str) -> DataFrame:
-    """Chunks of a batch whose fingerprints the table does not hold, one of each."""
+def reconcile(batch: DataFrame, table: str, number: int) -> DataFrame:
+    """Chunks of batch `number` whose fingerprints no earlier batch holds, one of each. Its own rows, of a run that was cut off, do not count."""
     spark = batch.sparkSession
-    new = batch.dropDuplicates(["fp"])
+    new = batch.groupBy("fp").agg(F.min_by(F.struct(*batch.columns), F.struct("path", "n")).alias("x")).select("x.*")
     try:
-        known = spark.read.parquet(table).select("fp")
+        known = spark.read.parquet(table).where(F.col("batch") < number).select("fp")
     except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         return new
     return new.join(known, "fp", "left_anti")
 
 
 def start(spark: SparkSession, inbox: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Appends new chunks to the table; one micro-batch is one reconciliation, and the table has a folder a batch, so a repeated batch replaces its own."""
+    """Adds new chunks to the table; one micro-batch is one reconciliation with the batches before it. A batch is written aside and then moved to its folder, so a
+    repeated batch replaces its own and readers see whole ones only."""
 
     def each(batch: DataFrame, number: int) -> None:
-        reconcile(batch, table).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        s = batch.sparkSession
+        aside, own = f"{table}/_aside/{number}", f"{table}/batch={number}"
+        reconcile(batch, table, number).write.mode("overwrite").parquet(aside)
+        path = s._jvm.org.apache.hadoop.fs.Path
+        fs = path(table).getFileSystem(s._jsc.hadoopConfiguration())
+        fs.delete(path(own), True)
+        if not fs.rename(path(aside), path(own)):
+            raise RuntimeError(f"could not move {aside}")
 
     return chunks(read_inbox(spark, inbox)).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
