@@ -51,7 +51,7 @@ def change(old: Column, new: Column, tolerance: float = TOLERANCE) -> Column:
     kind = F.when(old.isNull(), "NEW").when(numeric & ~same_family(old["unit"], new["unit"]), "UNIT_CHANGED").when(numeric, F.when(~moved, "UNCHANGED").when(delta > 0, "INCREASED").otherwise("DECREASED")).when(
         flip, F.when(old["boolean"] != new["boolean"], "FLIPPED").otherwise("UNCHANGED")).when(same_text, "UNCHANGED").otherwise("TEXT_REFINED")
     size = F.when(kind == "NEW", 0.6).when(kind == "UNIT_CHANGED", 0.8).when(kind == "FLIPPED", 1.0).when(kind == "UNCHANGED", 0.0).when(kind == "TEXT_REFINED", 0.5).otherwise(magnitude(delta))
-    return F.struct(kind.alias("kind"), F.when(kind.isin("INCREASED", "DECREASED"), F.round(delta, 4)).alias("delta"), F.round(size, 4).alias("magnitude"), ~kind.isin("UNCHANGED", "TEXT_REFINED").alias("material"))
+    return F.struct(kind.alias("kind"), F.when(kind.isin("INCREASED", "DECREASED"), F.round(delta, 4)).alias("delta"), F.round(size, 4).alias("magnitude"), (~kind.isin("UNCHANGED", "TEXT_REFINED")).alias("material"))
 
 
 def specificity(value: Column, bounded: Column, triple: Column) -> Column:

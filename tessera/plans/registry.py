@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quantity as Q
 from ..functions import text as X
 from ..operators import beliefs, lineage, propagation, relational
+from . import extended
 from ..sources.graph import CRITICALITY, NOW, STATUSES, edges, nodes, observations, read
 
 S = SparkSession
@@ -74,17 +75,19 @@ def propagation_graph(s: S, d: str) -> DataFrame:
 
 def downstream(s: S, d: str) -> DataFrame:
     seeds = nodes(s, d).where("id in ('S1', 'S2', 'S3')").select("id")
-    return propagation.reach(propagation.propagation(edges(s, d)), seeds, 2).select("seed", "id", "depth")
+    return propagation.reach(propagation.propagation(edges(s, d)), seeds, 3).select("seed", "id", "depth")
 
 
 def impact(s: S, d: str) -> DataFrame:
     seeds = nodes(s, d).where("id in ('S1', 'S2')").select("id", F.lit(1.0).alias("magnitude"))
-    return propagation.impact(propagation.propagation(edges(s, d)), seeds, depth=3)
+    return propagation.report(propagation.impact(propagation.propagation(edges(s, d)), seeds, depth=3), nodes(s, d))
 
 
 def pagerank(s: S, d: str) -> DataFrame:
-    few = nodes(s, d).where("type = 'Entity'")
-    return propagation.pagerank(propagation.propagation(edges(s, d), few), few, rounds=10).select("id", F.round("rank", 6).alias("rank"))
+    """Rank of every node, until it settles, and the criticality that it makes."""
+    n = nodes(s, d)
+    ranks = propagation.pagerank(propagation.propagation(edges(s, d), n), n)
+    return propagation.criticality(ranks, n).join(ranks, "id").select("id", F.round("rank", 6).alias("rank"), "criticality")
 
 
 def node_uncertainty(s: S, d: str) -> DataFrame:
@@ -215,20 +218,21 @@ SELECT subject, predicate, left_id, right_id, round(least(1, 0.6::DOUBLE * (0.55
     "induced_edges": f"WITH {_NODES}, {_EDGES}, k AS (SELECT id FROM n WHERE status = 'SUPPORTED') SELECT source, target, type FROM e WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)",
     "degree_centrality": f"WITH {_EDGES} SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT source AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT target, 0, 1 FROM e) GROUP BY id",
     "propagation_graph": f"WITH {_G} SELECT u, v, round(influence, 6) AS influence FROM g",
-    "downstream": f"WITH RECURSIVE {_G}, r AS (SELECT DISTINCT u AS seed, u AS id, 0 AS depth FROM g WHERE u IN ('S1', 'S2', 'S3') UNION SELECT seed, v, depth + 1 FROM r JOIN g ON r.id = g.u WHERE depth < 2) SELECT seed, id, min(depth) AS depth FROM r WHERE id <> seed GROUP BY seed, id",
+    "downstream": f"WITH RECURSIVE {_G}, r AS (SELECT DISTINCT u AS seed, u AS id, 0 AS depth FROM g WHERE u IN ('S1', 'S2', 'S3') UNION SELECT seed, v, depth + 1 FROM r JOIN g ON r.id = g.u WHERE depth < 3) SELECT seed, id, min(depth) AS depth FROM r WHERE id <> seed GROUP BY seed, id",
     "node_uncertainty": f"WITH {_NODES} SELECT id, type, round(greatest(1 - confidence, CASE status WHEN 'CONTESTED' THEN 0.5::DOUBLE WHEN 'CONTRADICTED' THEN 0.7::DOUBLE WHEN 'UNVERIFIED' THEN 0.4::DOUBLE ELSE 0 END) * {_CRIT}, 4) AS uncertainty FROM n WHERE status NOT IN {_DEAD}",
     "knowledge_health": f"""WITH {_NODES}, {_EDGES}, t AS (SELECT DISTINCT source AS id FROM e UNION SELECT target FROM e), b AS (SELECT DISTINCT source AS id FROM e WHERE type IN ('BASED_ON', 'DEPENDS_ON')),
 c AS (SELECT avg(confidence) AS a, count(*) AS live, count(*) FILTER (id NOT IN (SELECT id FROM t)) AS orphans, count(*) FILTER (type = 'Decision') AS decisions, count(*) FILTER (type = 'Decision' AND id NOT IN (SELECT id FROM b)) AS without_lineage FROM n WHERE status NOT IN {_DEAD})
 SELECT live, orphans, decisions, without_lineage, round(a, 4) AS avg_confidence, round(100 - (1 - a) * 20 - least(without_lineage / greatest(decisions, 1) * 20, 10) - least(orphans / greatest(live, 1) * 20, 8), 4) AS score FROM c""",
     "price_change": "WITH x AS (SELECT *, CASE WHEN p_size = 0 THEN CASE WHEN p_retailprice <> 0 THEN 1.0::DOUBLE END ELSE (p_retailprice - p_size) / abs(p_size) END AS r FROM part) SELECT p_partkey, round(r, 4) AS delta, round(abs(r) / (abs(r) + 0.35::DOUBLE), 4) AS magnitude, p_retailprice >= 1500 AS ok FROM x",
-    "fingerprints": r"SELECT c_custkey, substr(sha1(lower(trim(c_name)) || chr(31) || lower(trim(c_mktsegment)) || chr(31)), 1, 16) AS fp, regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, trim(regexp_replace(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9 ]+', ' ', 'g'), '\b(inc|ltd|llc|gmbh|corp|co|the)\b', ' ', 'g'), ' +', ' ', 'g')) AS name FROM customer",
+    "fingerprints": r"SELECT c_custkey, substr(sha1(lower(trim(c_name)) || chr(31) || lower(trim(c_mktsegment)) || chr(31)), 1, 16) AS fp, substr(regexp_replace(lower(regexp_replace(c_name, '[^\w\s-]', '', 'g')), '[\s_-]+', '-', 'g'), 1, 60) AS slug, trim(regexp_replace(regexp_replace(lower(c_name), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM customer",
     "chunk_diff": "WITH a AS (SELECT DISTINCT sha1(text) AS fp FROM documents WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT sha1(text) AS fp FROM documents WHERE doc_id % 2 = 1) SELECT fp, 'added' AS change FROM b WHERE fp NOT IN (SELECT fp FROM a) UNION ALL SELECT fp, 'removed' FROM a WHERE fp NOT IN (SELECT fp FROM b)",
     "vector_search": "WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, q WHERE vec_id <> qid ORDER BY score DESC, vec_id LIMIT 10",
     "upsert": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) SELECT user_id, event_id, value FROM r WHERE k = 1 AND event_type <> 'error'",
     "debounce": "WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM a) SELECT user_id, count(*) AS n, min(event_id) AS first_event FROM s GROUP BY user_id, g",
     "decision_basis": f"WITH {_NODES}, {_EDGES} SELECT DISTINCT source AS decision, target AS id, type AS role FROM e WHERE type IN ('BASED_ON', 'DEPENDS_ON') AND source IN (SELECT id FROM n WHERE type = 'Decision')",
     "decision_audit": f"WITH {_NODES}, {_EDGES} SELECT DISTINCT source AS decision, target AS id, e.type AS role, n.status, n.status IN ('CONTRADICTED', 'INVALIDATED', 'SUPERSEDED', 'CONTESTED') AS changed FROM e JOIN n ON n.id = e.target WHERE e.type IN ('BASED_ON', 'DEPENDS_ON') AND source IN (SELECT id FROM n WHERE type = 'Decision')",
-    "supersessions": f"WITH {_OBS}, w AS (SELECT id AS source, lag(id) OVER (PARTITION BY subject, predicate ORDER BY valid_from, id) AS target, greatest(confidence, 0.6::DOUBLE) AS confidence FROM o WHERE status NOT IN {_DEAD}) SELECT source, target, 'SUPERSEDES' AS type, 0.95::DOUBLE AS weight, confidence FROM w WHERE target IS NOT NULL",
+    "supersessions": f"""WITH {_OBS}, l AS (SELECT * FROM o WHERE status NOT IN {_DEAD}), p AS (SELECT a.id AS source, a.confidence, max_by(b.id, (b.valid_from, b.id)) AS target FROM l a JOIN l b ON a.subject = b.subject AND a.predicate = b.predicate AND b.valid_from < a.valid_from GROUP BY a.id, a.confidence)
+SELECT source, target, 'SUPERSEDES' AS type, 0.95::DOUBLE AS weight, greatest(confidence, 0.6::DOUBLE) AS confidence FROM p""",
     "retired_source": f"WITH {_NODES}, h AS (SELECT *, ends_with(label, '7') AND status NOT IN {_DEAD} AS hit FROM n) SELECT id, CASE WHEN hit THEN 'UNVERIFIED' ELSE status END AS status, round(CASE WHEN hit THEN greatest(confidence * 0.7::DOUBLE, 0.1::DOUBLE) ELSE confidence END, 4) AS confidence FROM h",
     "relationships": f"WITH {_NODES}, {_EDGES}, b AS (SELECT source AS id, 'out' AS direction, type, target AS neighbour FROM e UNION ALL SELECT target, 'in', type, source FROM e) SELECT b.id, direction, b.type, neighbour, coalesce(n.label, neighbour) AS label FROM b LEFT JOIN n ON n.id = neighbour",
     "ranked_view": f"""WITH {_NODES}, {_EDGES}, r AS (SELECT id, {_CRIT} AS c FROM n), core AS (SELECT id FROM r ORDER BY c DESC, id LIMIT 20), p AS (SELECT source AS id, target AS nxt FROM e UNION SELECT target, source FROM e),
@@ -242,3 +246,6 @@ SELECT seed, id, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDE
     "source_authority": "WITH x AS (SELECT doc_id, lower(coalesce(source, '') || ' ' || substr(coalesce(text, ''), 1, 400)) AS p FROM documents) SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(p, '{p}') THEN {v}::DOUBLE" for p, v in X.AUTHORITY) + " ELSE 0.65::DOUBLE END AS authority FROM x",
     "order_dates": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 4 THEN date_trunc('month', o_orderdate)::DATE WHEN 5 THEN date_trunc('year', o_orderdate)::DATE ELSE o_orderdate::DATE END AS day FROM orders",
 }
+
+QUERIES |= extended.QUERIES
+ORACLES |= extended.oracles(_OBS, _NODES, _EDGES, _G, ORACLES["conflicts"])
