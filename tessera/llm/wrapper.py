@@ -3,6 +3,7 @@ the same is the host's template, what varies are slots, and slots that are no na
 
 import html
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import boxed, written
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -45,6 +46,7 @@ class Node:
 
 def parse(page: str) -> Node:
     """A tree of a page's elements and texts; unclosed, crossed and broken tags are mended much as browsers do."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * page.count("<") + 10_000))  # a tree is no deeper than its tags; such calls take no C stack
     root = Node("#root")
     stack, pos, end = [root], 0, len(page)
     while pos < end:
@@ -192,12 +194,12 @@ _FRAME = frozenset("html body header nav main article aside section footer div f
 
 def layout(root: Node) -> int:
     """Hash of a page's skeleton: the distinct paths of its framing elements by tag and class, numbers in classes left out."""
-    paths, todo = set(), [(root, "")]
+    paths, todo = set(), [(root, "")]  # (node, hash of its path): a path's length must not grow with depth
     while todo:
         x, path = todo.pop()
         for y in x.nodes:
             if y.tag in _FRAME:
-                at = f"{path}/{re.sub('[0-9]+', '0', signature(y))}"
+                at = _hash(f"{path}/{re.sub('[0-9]+', '0', signature(y))}")
                 paths.add(at)
                 todo.append((y, at))
     return xxhash.xxh64_intdigest("\n".join(sorted(paths)).encode(errors="surrogatepass")) - (1 << 63)
@@ -208,14 +210,16 @@ def _own_text(node: Node) -> str:
     if node.tag in RAW or node.tag in INLINE:
         return ""
 
-    def own(n: Node) -> Iterator[str]:
-        for x in n.parts:
-            if isinstance(x, str):
-                yield x
-            elif x.tag in INLINE:
-                yield from own(x) if x.tag != "br" else (" ",)
-
-    return " ".join(html.unescape("".join(own(node))).split())
+    out, todo = [], list(reversed(node.parts))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.tag == "br":
+            out.append(" ")
+        elif x.tag in INLINE:
+            todo.extend(reversed(x.parts))
+    return " ".join(html.unescape("".join(out)).split())
 
 
 def _hash(text: str) -> str:
@@ -321,7 +325,7 @@ def extract(pages: DataFrame, least: int = 5, share: float = 0.8, url: str = "ur
     Then each page is aligned again and read without the template's nodes that have the template's text and without the parts that hold no content.
     Each of m copies counts 1 / m; sums are rounded. Counting is done per task first, so a host of any size needs no group in memory. A null or empty page has an empty text; a null
     url is a host of its own. Repeated rows each give a row; an own column `text` is replaced."""
-    kept = [c for c in pages.columns if c not in ("text", "_host", "_layout", "_ref", "_fixed")]
+    kept = ["row", "_page"]
 
     def laid(at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,9 +335,9 @@ def extract(pages: DataFrame, least: int = 5, share: float = 0.8, url: str = "ur
 
         return run
 
-    spark = pages.sparkSession
-    base = pages.select(*kept, host_of(F.col(url)).alias("_host"))
-    seen = base.where(F.col(page).isNotNull()).select("_host", F.col(page).alias("_page"), F.xxhash64(page).alias("h"))
+    whole = boxed(pages, ("text",), _page=F.col(page), _host=host_of(F.col(url)))
+    base = whole
+    seen = pages.where(F.col(page).isNotNull()).select(host_of(F.col(url)).alias("_host"), F.col(page).alias("_page"), F.xxhash64(page).alias("h"))
     shapes = seen.mapInArrow(laid(1), "_host string, _page string, h long, _layout long").groupBy("_host", "h", "_layout").agg(F.count("*").alias("m"))
     shapes = written(shapes, "layouts")
     copies = written(shapes.where("m > 1").select("_host", "h", "m"), "copies")
@@ -373,9 +377,9 @@ def extract(pages: DataFrame, least: int = 5, share: float = 0.8, url: str = "ur
     fixed = counted.where((F.col("n") >= share * F.col("all")) & (F.col("n") > 1) & (F.col("all") >= least)).groupBy("_host", "_group").agg(F.collect_list(F.struct("node", "t")).alias("_fixed"))
     wrap = written(refs.join(fixed, ["_host", "_group"]).join(groups, ["_host", "_group"]).select("_host", "_layout", "_group", "_ref", "_fixed"), "wrappers")
     with_layout = base.withColumn("_layout", F.lit(None).cast("long")).schema
-    both = base.mapInArrow(laid(kept.index(page)), with_layout).join(wrap, ["_host", "_layout"], "left")
-    at, n = kept.index(page), len(kept)
-    shape = spark.createDataFrame([], pages.select(*kept).schema).withColumn("text", F.lit("")).schema
+    both = base.mapInArrow(laid(1), with_layout).join(wrap, ["_host", "_layout"], "left")
+    at, n = 1, len(kept)
+    shape = whole.select("row", F.lit("").alias("text")).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[tuple[str, int], tuple[Node, dict[int, str]]] = {}
@@ -391,6 +395,6 @@ def extract(pages: DataFrame, least: int = 5, share: float = 0.8, url: str = "ur
                         trees[keys[i]] = (numbered(parse(b.column(n + 2)[i].as_py())), {x["node"]: x["t"] for x in b.column(n + 3)[i].as_py()})
                     w = trees[keys[i]]
                 out.append(main_text(p.as_py(), w) if p.is_valid else "")
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(out, pa.string())], [*kept, "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["row", "text"])
 
-    return both.select(*kept, "_host", "_group", "_ref", "_fixed").mapInArrow(read, shape)
+    return both.select(*kept, "_host", "_group", "_ref", "_fixed").mapInArrow(read, shape).select("row.*", "text")
