@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessera.llm import multiindex
+from tessera.llm import compact, multiindex
 
 
 def shuffled(spark):
@@ -43,3 +43,27 @@ def test_traversal_is_the_multi_sequence():
         assert sorted(cell[row == i].tolist()) == sorted(u * len(index.c2) + v for u, v in multiindex.multi_sequence(d1[i], d2[i], index.limit(d1, d2)[i]))
     one, two = index.both(x), index.both(x[7:8])
     assert (one[0][7] == two[0][0]).all() and (one[1][7] == two[1][0]).all()
+
+
+def _window(place, words, least):
+    return compact._pack(np.array([place]), np.array([least]), np.array([least]), np.array([words], np.uint64))[0].item()
+
+
+def test_all_windows_of_a_crowded_key_meet(spark):
+    n, least = 60, 46
+    rows = [(8 * 12345 + 0, d, _window(100, 977 * d, least), d) for d in range(n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = compact._across(spark.createDataFrame(rows, "key long, doc_id long, at long, label long"), least).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.doc_id, r.other) for r in got} == {(a, b) for a in range(n) for b in range(a)}
+
+
+def test_crowded_hashes_of_any_numbers_meet(spark):
+    least, n = 46, 50
+    rows = [(d, 8 * 1000 * (j + 1) + j, _window(100 + j, 977 * d, least)) for d in range(n) for j in (0, 2, 4, 6)]
+    crowded = spark.createDataFrame(rows, "doc_id long, a long, b long")
+    cover = spark.createDataFrame([], "doc_id long, a long, b long, c long")
+    found = compact._joined(compact._across(compact._second(crowded, cover, least), least), least).collect()
+    assert {(r.doc_id, r.other) for r in found} == {(a, b) for a in range(n) for b in range(a)}
