@@ -67,3 +67,22 @@ def test_crowded_hashes_of_any_numbers_meet(spark):
     cover = spark.createDataFrame([], "doc_id long, a long, b long, c long")
     found = compact._joined(compact._across(compact._second(crowded, cover, least), least), least).collect()
     assert {(r.doc_id, r.other) for r in found} == {(a, b) for a in range(n) for b in range(a)}
+
+
+def test_regions_are_sent_once(spark):
+    r = np.random.default_rng(8)
+    text = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    n = 200
+    passages = [text(60) for _ in range(n // 2)]
+    rows = [(d, " ".join(text(200) + passages[d // 2] + text(200))) for d in range(n)]
+    base = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(d + 1, 0, 456, d, 0, 456) for d in range(0, n, 2)], compact._PAIR)
+    before = set(shuffled(spark))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = compact._verified(base, pairs, 5, 46, 0.8).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sent = sum(x for k, x in shuffled(spark).items() if k not in before)
+    assert {(x.doc_id, x.other_id, x.first, x.after, x.other_first) for x in got} == {(d + 1, d, 200, 260, 200) for d in range(0, n, 2)}
+    assert sent <= 3 * n * 456 * 8  # both regions of each pair, and the texts
