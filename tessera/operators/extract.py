@@ -1,5 +1,6 @@
 """From text to rows: each sentence becomes a requirement, decision, event, risk, claim or relationship by fixed cues, in that order."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,8 +73,37 @@ KINDS = [
 ]
 
 
-def _first(rules: list[tuple[str, str]], text: Column, flags: str = "(?i)") -> Column:
-    return F.coalesce(*(F.when(text.rlike(flags + p), F.lit(v)) for p, v in rules))
+def needed(pattern: str) -> list[str]:
+    """Texts in lower case of which every match of a pattern, whatever the case, holds at least one; none where the pattern has no such texts."""
+
+    def of(seq) -> list[str]:
+        ways, run = [], ""
+        for op, arg in [*seq, (None, None)]:
+            if str(op) == "LITERAL" and arg < 128:
+                run += chr(arg).lower()
+                continue
+            ways, run = [*ways, [run]] if run else ways, ""
+            if str(op) == "SUBPATTERN":
+                ways.append(of(arg[3]))
+            elif str(op) == "BRANCH":
+                each = [of(x) for x in arg[1]]
+                ways.append([t for x in each for t in x] if all(each) else [])
+            elif str(op) == "MAX_REPEAT" and arg[0]:
+                ways.append(of(arg[2]))
+        return max(ways, key=lambda w: min(map(len, w), default=0), default=[])
+
+    return list(dict.fromkeys(of(re._parser.parse(pattern))))
+
+
+def says(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern fits a text, whatever the case. low: the text in lower case, in which the pattern's needed() texts are looked for first, as that takes
+    a small part of the time."""
+    some, fits = needed(pattern), text.rlike("(?i)" + pattern)
+    return F.when(F.exists(F.array(*map(F.lit, some)), lambda x: F.contains(low, x)), fits).otherwise(F.lit(False)) if some else fits
+
+
+def _first(rules: list[tuple[str, str]], text: Column, flags: str = "(?i)", low: Column | None = None) -> Column:
+    return F.coalesce(*(F.when(text.rlike(flags + p) if low is None else says(text, low, p), F.lit(v)) for p, v in rules))
 
 
 def entity_kind(name: Column) -> Column:
@@ -95,17 +125,18 @@ def find_entities(text: Column, known: list[str] | None = None) -> Column:
 
 def value_in(text: Column) -> Column:
     """struct(value, unit) of the first number with a unit, currency or magnitude; null if there is none."""
+    text = F.when(text.rlike("[0-9]"), text)  # no number without a digit
     groups = [F.regexp_extract_all(text, F.lit(VALUE), F.lit(i)) for i in range(1, 5)]
     found = F.filter(F.arrays_zip(*(g.alias(n) for g, n in zip(groups, ("cur", "num", "mag", "unit"), strict=True))), lambda m: (m["unit"] != "") | (m["cur"] != "") | (m["mag"] != ""))
     return F.get(F.transform(F.slice(found, 1, 1), lambda m: F.struct(F.trim(F.concat_ws(" ", m["num"], F.nullif(m["mag"], F.lit("")))).alias("value"), F.coalesce(F.nullif(F.trim(m["unit"]), F.lit("")), F.nullif(m["cur"], F.lit(""))).alias("unit"))), F.lit(0))
 
 
-def predicate_of(sentence: Column, value: Column, before: Column) -> Column:
-    """By the sentence's words, else by the unit, else the last three content words before the value."""
+def predicate_of(sentence: Column, value: Column, before: Column, low: Column | None = None) -> Column:
+    """By the sentence's words (low: the sentence in lower case), else by the unit, else the last three content words before the value."""
     words = F.filter(F.regexp_extract_all(F.lower(before), F.lit("([a-z][a-z-]+)"), F.lit(1)), lambda w: ~w.isin(*NO_HEAD))
     tail = F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3), " ")
     money = F.when(F.concat(F.coalesce(value["unit"], F.lit("")), value["value"]).rlike("[₹$€]"), "cost")
-    return F.coalesce(_first(PREDICATES, sentence), _first(UNIT_PREDICATES, F.trim(value["unit"])), money, F.nullif(tail, F.lit("")), F.lit("value"))
+    return F.coalesce(_first(PREDICATES, sentence, low=low), _first(UNIT_PREDICATES, F.trim(value["unit"])), money, F.nullif(tail, F.lit("")), F.lit("value"))
 
 
 def extract(chunks: DataFrame, known: list[str] | None = None) -> DataFrame:
@@ -113,21 +144,23 @@ def extract(chunks: DataFrame, known: list[str] | None = None) -> DataFrame:
 
     One record a sentence (n, from 1): constraint, decision, event, risk, claim or relationship; an event that says from what to
     what is a claim besides. A sentence without a subject has that of one at most two sentences before, else the default one, with 0.12 less
-    confidence. Sentences that fit nothing give no row; null texts none."""
-    s = chunks.select("id", "default_subject", F.posexplode(sentences(F.col("text"))).alias("n", "sentence")).withColumn("n", F.col("n") + 1)
-    s = s.withColumn("named", find_entities(F.col("sentence"), known))
+    confidence. Sentences that fit nothing give no row; null texts none. The work is in reading the texts, not in their bytes, so they are dealt to as many
+    parts as a shuffle has, however few files they come from."""
+    dealt = chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    s = dealt.select("id", "default_subject", F.posexplode(sentences(F.col("text"))).alias("n", "sentence")).withColumn("n", F.col("n") + 1)
+    s = s.withColumns({"named": find_entities(F.col("sentence"), known), "low": F.lower("sentence")})
     back = Window.partitionBy("id").orderBy("n").rowsBetween(-2, 0)
     carried = F.last(F.get("named", F.lit(0)), ignorenulls=True).over(back)
     s = s.withColumn("carried", carried).withColumn("subject", F.coalesce("carried", "default_subject"))
     less = F.when(F.col("carried").isNull() & F.col("subject").isNotNull(), 0.12).otherwise(0.0)
-    t = F.col("sentence")
-    operator = _first([(p, o) for p, o in COMPARATORS], t)
-    part = lambda i: F.coalesce(*(F.when(t.rlike("(?i)" + p), F.regexp_extract(t, rf"(?is)^(.*?)(?:{p})(.*)$", i)) for p, _ in COMPARATORS))
-    s = s.withColumns({"operator": operator, "left": part(1), "right": part(2)}).withColumn("value", value_in(F.coalesce("right", "sentence")))
-    cue = lambda p: t.rlike("(?i)" + p)
+    t, low = F.col("sentence"), F.col("low")
+    part = lambda i: F.coalesce(*(F.when(F.col("operator") == o, F.regexp_extract(t, rf"(?is)^(.*?)(?:{p})(.*)$", i)) for p, o in COMPARATORS))
+    s = s.withColumn("operator", _first(COMPARATORS, t, low=low)).withColumns({"left": part(1), "right": part(2)}).withColumn("value", value_in(F.coalesce("right", "sentence")))
+    cue = lambda p: says(t, low, p)
     has_subject, has_value = F.col("subject").isNotNull(), F.col("value").isNotNull()
-    pair = F.regexp_extract(t, r"(?i)(?:reduced|lowered|raised|increased|changed|revised)\s+from\s+([^,;]+?)\s+to\s+([^,;.]+)", 2)
-    s = s.withColumn("new", value_in(pair)).withColumn("relation", reduce(lambda later, r: F.when(t.rlike("(?i)" + r[0]) & _ends(t, r[0], known).isNotNull(), F.struct(F.lit(r[1]).alias("type"), _ends(t, r[0], known).alias("ends"))).otherwise(later), reversed(RELATIONS), F.lit(None).cast("struct<type:string,ends:struct<source:string,target:string>>")))
+    shift = r"(?:reduced|lowered|raised|increased|changed|revised)\s+from\s+([^,;]+?)\s+to\s+([^,;.]+)"
+    pair = F.when(cue(shift), F.regexp_extract(t, "(?i)" + shift, 2))
+    s = s.withColumn("new", value_in(pair)).withColumn("relation", reduce(lambda later, r: F.when(F.when(cue(r[0]), _ends(t, r[0], known).isNotNull()).otherwise(F.lit(False)), F.struct(F.lit(r[1]).alias("type"), _ends(t, r[0], known).alias("ends"))).otherwise(later), reversed(RELATIONS), F.lit(None).cast("struct<type:string,ends:struct<source:string,target:string>>")))
     null, text = F.lit(None).cast("string"), F.coalesce("subject", F.lit(""))
 
     def row(record: str, kind: Column, confidence: Column, subject: Column = text, predicate: Column = null, operator: Column = null, value: Column | None = None, severity: Column | None = None, rationale: Column = null, related: Column = null) -> Column:
@@ -137,13 +170,13 @@ def extract(chunks: DataFrame, known: list[str] | None = None) -> DataFrame:
     v, new, nothing = F.col("value"), F.col("new"), F.lit("")
     because = F.regexp_replace(F.regexp_extract(t, r"(?i)\b(?:because|since|as|due to|owing to)\b(.+)", 1), r"^[ .]+|[ .]+$", "")
     before = F.when(F.contains(t, v["value"]), F.call_function("substring_index", t, v["value"], F.lit(1))).otherwise(t)
-    constraint = row("constraint", F.when(t.rlike(r"(?i)\b(must|shall)\b"), "Requirement").otherwise("Constraint"), 0.72 - less, F.col("subject"), predicate_of(t, v, F.col("left")), F.col("operator"), v)
+    constraint = row("constraint", F.when(t.rlike(r"(?i)\b(must|shall)\b"), "Requirement").otherwise("Constraint"), 0.72 - less, F.col("subject"), predicate_of(t, v, F.col("left"), low), F.col("operator"), v)
     decision = row("decision", F.lit("Decision"), F.lit(0.62), rationale=because)
     event = row("event", F.lit("Event"), F.lit(0.65), related=F.array_join(F.slice("named", 1, 4), "|"))
-    changed = row("claim", F.lit("Claim"), F.lit(0.68), F.col("subject"), predicate_of(t, new, t), value=new)
+    changed = row("claim", F.lit("Claim"), F.lit(0.68), F.col("subject"), predicate_of(t, new, t, low), value=new)
     risk = row("risk", F.lit("Risk"), F.lit(0.55), severity=F.when(t.rlike(r"(?i)\bcritical|severe|major\b"), 0.6).otherwise(0.45))
     kind = F.when(cue(OBSERVATION), "Observation").when(cue(ASSUMPTION), "Assumption").otherwise("Claim")
-    claim = row("claim", kind, F.when(cue(OBSERVATION), 0.70).otherwise(0.65) - less, F.col("subject"), predicate_of(t, v, before), value=v)
+    claim = row("claim", kind, F.when(cue(OBSERVATION), 0.70).otherwise(0.65) - less, F.col("subject"), predicate_of(t, v, before, low), value=v)
     relation = row("relationship", F.col("relation.type"), F.lit(0.6), F.col("relation.ends.source"), related=F.col("relation.ends.target"))
     rows = F.when(F.col("operator").isNotNull() & has_value & cue(REQUIREMENT) & has_subject, F.array(constraint)).when(cue(DECISION), F.array(decision)).when(
         cue(EVENT), F.when(new.isNotNull() & has_subject, F.array(event, changed)).otherwise(F.array(event))).when(cue(RISK), F.array(risk)).when(has_value & has_subject, F.array(claim)).when(F.col("relation").isNotNull(), F.array(relation))

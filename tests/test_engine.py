@@ -129,3 +129,21 @@ def test_replayed_batch_keeps_its_rows(spark, tmp_path):
     (cp / "commits" / ".1.crc").unlink(missing_ok=True)
     ingest.start(spark, str(inbox), str(table), str(cp)).awaitTermination()
     assert sorted(r[0] for r in spark.read.parquet(str(table)).select("chunk").collect()) == want == ["# One\ntext", "more", "new"]
+
+
+def test_cues_are_looked_for_before_patterns(spark):
+    """What a match needs is found in every text that fits, whatever the case, and texts come in as many parts as a shuffle has."""
+    rules = [p for rs in (extract.COMPARATORS, extract.PREDICATES, extract.RELATIONS) for p, _ in rs] + [extract.REQUIREMENT, extract.DECISION, extract.EVENT, extract.RISK, extract.OBSERVATION, extract.ASSUMPTION]
+    assert all(map(extract.needed, rules)) and extract.needed("^[CF]$|x") == [] and extract.needed("go(?:ing)? with|A+b?") == [" with", "a"]
+    said = ["It MUST not Exceed 5 kg", "Going With it", "the ROUND-trip time", "Jeopardising x", "superseded by", "Maximum Temperature", "charging  rate", "no cue", "testing showed", "distance per charge", "reKuires ſhall", "", None]
+    df = spark.createDataFrame([(x,) for x in said], "t string")
+    t = F.col("t")
+    both = df.select(*(F.coalesce(F.concat(extract.says(t, F.lower(t), p).cast("string"), F.lit(" "), t.rlike("(?i)" + p).cast("string")), F.lit("false false")) for p in rules)).collect()
+    assert {x for r in both for x in r} == {"true true", "false false"}
+    one = spark.createDataFrame([(i, "The pack must not exceed 5 kg. It weighs 4 kg.", "Pack A") for i in range(40)], "id int, text string, default_subject string").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = extract.extract(one)
+        assert got.rdd.getNumPartitions() == 4 and got.count() == 80
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
