@@ -14,3 +14,15 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
+
+
+#: Bytes, as Spark's planner expects them, that go to one part.
+PART = 2 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by the hash of keys, in as many parts as a shuffle has, or more where its expected bytes ask for it. Spark makes the parts of its own shuffles larger
+    as tables grow, up to so many compressed bytes; a count that is given holds, so what one task keeps does not grow with the table."""
+    spark = df.sparkSession
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-expected // PART), 10_000)), *keys)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import cut, dealt
 from ..sources.graph import BACKWARD, BOTH, CRITICALITY, INFLUENCE, lookup
 
 
@@ -12,7 +12,7 @@ def propagation(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     e = edges.withColumn("influence", lookup(INFLUENCE, F.col("type"), 0.3) * F.col("weight") * F.col("confidence")).where("source <> target and influence > 0")
     fwd, back = F.struct(F.col("source").alias("u"), F.col("target").alias("v")), F.struct(F.col("target").alias("u"), F.col("source").alias("v"))
     ways = F.when(F.col("type").isin(*BACKWARD), F.array(back)).when(F.col("type").isin(*BOTH), F.array(fwd, back)).otherwise(F.array(fwd))
-    out = e.select(F.explode(ways).alias("x"), "influence").groupBy("x.u", "x.v").agg(F.max("influence").alias("influence"))
+    out = dealt(e.select(F.explode(ways).alias("x"), "influence").select("x.*", "influence"), "u", "v").groupBy("u", "v").agg(F.max("influence").alias("influence"))
     if nodes is not None:
         out = out.join(nodes.select(F.col("id").alias("u")), "u", "left_semi").join(nodes.select(F.col("id").alias("v")), "v", "left_semi")
     return out.select("u", "v", "influence")

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.cut import dealt
+
 #: Influence of an edge type, and the direction in which a change runs along it.
 INFLUENCE = {
     "INVALIDATES": 1.00, "CONTRADICTS": 0.95, "SUPERSEDES": 0.95, "CONSTRAINS": 0.80, "CAUSES": 0.80, "AFFECTS": 0.65, "SUPPORTS": 0.60,
@@ -54,9 +56,11 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """(source, target, type, weight, confidence): ownership between entities, and what each order is based on."""
     def part(name: str, s: str, sk: str, t: str, tk: str, kind: str, weight: float) -> DataFrame:
-        return read(spark, d, name).select(F.concat(F.lit(s), F.col(sk)).alias("source"), F.concat(F.lit(t), F.col(tk)).alias("target"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"), F.lit(0.9).alias("confidence"))
+        keys = read(spark, d, name).select(sk, tk)
+        keys = dealt(keys, sk, tk).distinct() if name == "lineitem" else keys  # of numbers, which take less room than ids
+        return keys.select(F.concat(F.lit(s), F.col(sk)).alias("source"), F.concat(F.lit(t), F.col(tk)).alias("target"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"), F.lit(0.9).alias("confidence"))
 
     out = part("nation", "N", "n_nationkey", "R", "n_regionkey", "OWNED_BY", 0.9)
     for x in (("customer", "C", "c_custkey", "N", "c_nationkey", "OWNED_BY", 0.9), ("supplier", "S", "s_suppkey", "N", "s_nationkey", "OWNED_BY", 0.9), ("orders", "O", "o_orderkey", "C", "o_custkey", "DEPENDS_ON", 0.8)):
         out = out.union(part(*x))
-    return out.union(part("lineitem", "O", "l_orderkey", "S", "l_suppkey", "BASED_ON", 0.9).distinct())
+    return out.union(part("lineitem", "O", "l_orderkey", "S", "l_suppkey", "BASED_ON", 0.9))

@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +106,25 @@ def test_only_reading_statements(spark):
     for bad in ("DROP TABLE x", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "/* select */ delete from t"):
         with pytest.raises(ValueError):
             lineage.read_only(spark, bad)
+
+
+#: Queries on the propagation view or a graph like it.
+DEALT = ["propagation_graph"]
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_parts_follow_the_edges(spark, monkeypatch, name):
+    """Edges and the view are dealt in a given number of parts, more of them for more edges, which Spark does not join into larger ones."""
+    from tessera.operators import cut as C
+
+    monkeypatch.setattr(C, "PART", 1 << 12)
+    plans, kept = [], propagation.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(propagation, "cut", seen)
+    plans.append(registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    given = [int(x.rsplit(", ", 1)[-1]) for p in plans for x in re.findall(r"hashpartitioning\(([^)]*)\), REPARTITION_BY_NUM", p)]
+    assert given and min(given) > 4
