@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.graph import CRITICALITY, DEAD, lookup
+from .cut import dealt
 from .propagation import reach
 from .relational import induced
 
@@ -67,7 +68,8 @@ def ranked_view(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, limit: int) -> DataFrame:
     """(seed, id, depth): nodes within `depth` steps either way, the nearest `limit` of each seed; ties by id."""
-    g = edges.select(F.col("source").alias("u"), F.col("target").alias("v")).union(edges.select("target", "source")).distinct()
+    both = F.explode(F.array(F.struct(F.col("source").alias("u"), F.col("target").alias("v")), F.struct(F.col("target").alias("u"), F.col("source").alias("v"))))
+    g = dealt(edges.select(both.alias("x")).select("x.*"), "u", "v").distinct()
     w = Window.partitionBy("seed").orderBy("depth", "id")
     return reach(g, seeds, depth).withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).select("seed", "id", "depth")
 

@@ -109,7 +109,7 @@ def test_only_reading_statements(spark):
 
 
 #: Queries on the propagation view or a graph like it.
-DEALT = ["propagation_graph"]
+DEALT = ["propagation_graph", "neighbourhood"]
 
 
 @pytest.mark.parametrize("name", DEALT)
