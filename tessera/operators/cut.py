@@ -22,7 +22,9 @@ PART = 2 << 20
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df by the hash of keys, in as many parts as a shuffle has, or more where its expected bytes ask for it. Spark makes the parts of its own shuffles larger
-    as tables grow, up to so many compressed bytes; a count that is given holds, so what one task keeps does not grow with the table."""
+    as tables grow, up to so many compressed bytes; a count that is given holds, so what one task keeps does not grow with the table. Rows that come from no
+    file have no expected size, and joins too large a one."""
     spark = df.sparkSession
     expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-expected // PART), 10_000)), *keys)
+    more = min(-(-expected // PART), 10_000) if expected < 1 << 50 else 1
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), more), *keys)

@@ -128,3 +128,10 @@ def test_parts_follow_the_edges(spark, monkeypatch, name):
     plans.append(registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
     given = [int(x.rsplit(", ", 1)[-1]) for p in plans for x in re.findall(r"hashpartitioning\(([^)]*)\), REPARTITION_BY_NUM", p)]
     assert given and min(given) > 4
+
+
+def test_parts_of_rows_without_a_size(spark):
+    from tessera.operators.cut import dealt
+
+    e = spark.createDataFrame([("a", "b", "ABOUT", 0.6, 0.9)], "source string, target string, type string, weight double, confidence double")
+    assert dealt(e, "source").rdd.getNumPartitions() == 4 and propagation.propagation(e).rdd.getNumPartitions() == 4
